@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from symgraph.llm.common import read_table
 from symgraph.llm.packing import pack_documents
+from symgraph.llm.simhash import fingerprint_hex, near_duplicates
+from symgraph.llm.substring_dedup import remove_repeats
 from symgraph.llm.url_filter import PATTERN_RULES, HostRule, judge_urls
 
 HOST_RULES = (
@@ -24,11 +27,20 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(read_table(spark, sf_dir, "pages"), HOST_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -58,7 +70,9 @@ def _url_sql() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_simhash": op4_simhash,
         "op5_url_filter": op5_url_filter,
+        "op7_suffix_array": op7_suffix_array,
         "op9_packing": op9_packing,
     }
 
