@@ -227,3 +227,10 @@ def _classes(docs: DataFrame, words: int, lanes: int, sets: Sequence[Sequence[in
     classes = connected_components(links(nodes, sets, min_shared, max_bits))
     named = nodes.join(classes, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return found.join(named, "fp")
+
+
+def one_of_each(docs: DataFrame, **likeness: float) -> DataFrame:
+    """``docs`` less all but the first document (by doc_id) of each class of ``wide_near_duplicates``."""
+    classes = wide_near_duplicates(docs, **likeness)
+    kept = written(classes.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
+    return docs.join(kept, docs["doc_id"].cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
