@@ -17,6 +17,7 @@ from symgraph.llm.simhash import fingerprint_hex, near_duplicates
 from symgraph.llm.spotsigs import compare_edits
 from symgraph.llm.substring_dedup import remove_repeats
 from symgraph.llm.url_filter import PATTERN_RULES, HostRule, judge_urls
+from symgraph.session import with_package
 
 HOST_RULES = (
     HostRule("net", "/", "block"),
@@ -164,18 +165,19 @@ _LEAKS_SQL = r"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_line_dedup": op1_line_dedup,
-        "op2_language_id": op2_language_id,
-        "op3_sharding": op3_sharding,
-        "op4_simhash": op4_simhash,
-        "op5_url_filter": op5_url_filter,
-        "op6_spotsigs": op6_spotsigs,
-        "op7_suffix_array": op7_suffix_array,
-        "op8_decontamination": op8_decontamination,
-        "op9_packing": op9_packing,
-        "op10_toxicity": op10_toxicity,
-    }
+    bound = (
+        op1_line_dedup,
+        op2_language_id,
+        op3_sharding,
+        op4_simhash,
+        op5_url_filter,
+        op6_spotsigs,
+        op7_suffix_array,
+        op8_decontamination,
+        op9_packing,
+        op10_toxicity,
+    )
+    return {query.__name__: with_package(query) for query in bound}
 
 
 def oracle_sql() -> dict[str, str]:

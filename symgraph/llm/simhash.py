@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataF
 
 
 def wide_near_duplicates(
-    docs: DataFrame, words: int = 5, lanes: int = 8, keys: int = 128, max_differing: float = 0.165, min_shared: int = 8
+    docs: DataFrame, words: int = 5, lanes: int = 8, keys: int = 128, max_differing: float = 0.172, min_shared: int = 8
 ) -> DataFrame:
     """The same under fingerprints of ``64 * lanes`` bits, for a looser likeness.
 
