@@ -33,7 +33,7 @@ def _or_last(alias: Column, path: Column, separator: str) -> Column:
 
 def _listed(names: Column, make) -> Column:
     """Refs of a comma-separated list of ``name`` or ``name as alias``."""
-    parts = F.transform(F.split(names, ","), lambda n: F.trim(F.btrim(F.trim(n), F.lit("()"))))
+    parts = F.transform(F.split(names, ","), lambda n: F.btrim(n, F.lit("() \t\r\n")))
     return F.transform(F.filter(parts, lambda n: ~n.isin("", "*")), make)
 
 

@@ -64,9 +64,14 @@ def defines_edges(symbols: DataFrame) -> DataFrame:
     return of_package.unionByName(of_file).distinct()
 
 
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r"))
+
+
 def embeds_edges(symbols: DataFrame) -> DataFrame:
     """Embedded types of structs: a symbol of the same file, else an external name."""
-    lines = F.transform(F.split("content", "\n"), lambda x: F.rtrim(F.trim(F.regexp_replace(F.regexp_replace(x, "//.*$", ""), "`.*$", "")), F.lit(",")))
+    bare = lambda x: F.rtrim(_trimmed(F.regexp_replace(x, "(?://|`).*$", "")), F.lit(","))
+    lines = F.transform(F.split("content", "\n"), bare)
     fields = F.filter(lines, lambda x: x.rlike(r"^\*?[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)?$"))
     held = symbols.where("type = 'struct'").select("file", "symbol", F.explode(F.transform(fields, lambda x: F.ltrim(x, F.lit("*")))).alias("target"))
     known = symbols.select("file", F.col("symbol").alias("target"), F.lit(True).alias("_known")).distinct()
@@ -75,7 +80,7 @@ def embeds_edges(symbols: DataFrame) -> DataFrame:
 
 
 def interface_methods(content: Column) -> Column:
-    lines = F.transform(F.split(content, "\n"), lambda x: F.trim(F.regexp_replace(x, "//.*$", "")))
+    lines = F.transform(F.split(content, "\n"), lambda x: _trimmed(F.regexp_replace(x, "//.*$", "")))
     return F.filter(F.transform(lines, lambda x: F.regexp_extract(x, r"^([A-Za-z_][A-Za-z0-9_]*)\(", 1)), lambda m: m != "")
 
 
@@ -198,9 +203,7 @@ def walk(edges: DataFrame, roots: DataFrame, depth: int, forward: bool = True, n
     for d in range(1, depth + 1):
         level = level.join(step, "id").select(F.col("_to").alias("id")).distinct()
         levels.append(level.withColumn("depth", F.lit(d)))
-    if not levels:
-        return roots.select("id", F.lit(0).alias("depth")).limit(0)
-    out = levels[0]
+    out = levels[0] if levels else roots.select("id", F.lit(0).alias("depth")).limit(0)
     for other in levels[1:]:
         out = out.unionByName(other)
     if min_depth:
