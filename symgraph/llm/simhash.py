@@ -119,7 +119,7 @@ def _posting_keys(fp: Column, sets: Sequence[Sequence[int]]) -> Column:
 def _linked(one: np.ndarray, many: np.ndarray, min_shared: int, max_bits: int) -> np.ndarray:
     """Whether each pair of fingerprints shares enough positional bytes and is then verified."""
     diff = one ^ many
-    shared = (diff.view(np.uint8).reshape(len(diff), -1) == 0).sum(axis=1)
+    shared = (diff.view(np.uint8).reshape(len(diff), 8 * diff.shape[1]) == 0).sum(axis=1)
     near = shared >= min_shared
     near[near] = np.bitwise_count(diff[near]).sum(axis=1, dtype=np.int64) <= max_bits
     return near

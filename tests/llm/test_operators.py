@@ -1,0 +1,309 @@
+import hashlib
+import json
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+import regex
+import xxhash
+from pyspark.sql import functions as F
+from samples import frame, prose
+
+from symgraph.llm import langid, toxicity
+from symgraph.llm.decontaminate import decontaminate, find_leaks
+from symgraph.llm.packing import pack_documents, padding, sequence_cost
+from symgraph.llm.shards import ConcurrentCommit, ShardStore
+from symgraph.llm.spotsigs import COMMON_WORDS, compare_edits, near_pairs
+from symgraph.llm.url_filter import HostRule, PatternRule, build_index, judge_urls
+
+PAGES = "page_id long, url string"
+
+
+# --- URL filters --------------------------------------------------------------
+
+RULES = (HostRule("net", "/", "block"), HostRule("example.net", "/en/", "allow"), HostRule("example.com", "/de/", "block"))
+
+
+@pytest.mark.parametrize(
+    ("url", "expected"),
+    [
+        ("https://A.Example.NET/en/1?x#y", ("a.example.net", "/en/1", "example.net/en/", "allow")),
+        ("http://b.net/fr", ("b.net", "/fr", "net/", "block")),
+        ("http://b.net", ("b.net", "", None, "allow")),
+        ("http://notexample.com/de/1", ("notexample.com", "/de/1", None, "allow")),
+        ("http://example.com/de/", ("example.com", "/de/", "example.com/de/", "block")),
+        ("http://casino.org/a", ("casino.org", "/a", None, "block")),
+        ("http://casinos-online.org", ("casinos-online.org", "", None, "block")),
+        ("http://betsy.org/x", ("betsy.org", "/x", None, "allow")),
+        ("http://10.0.0.1/x", ("10.0.0.1", "/x", None, "block")),
+        ("http://x.org?u=http://b.net/", ("x.org", "", None, "allow")),
+        ("//b.net/x", ("", "", None, "allow")),
+        ("", ("", "", None, "allow")),
+        (None, ("", "", None, "allow")),
+    ],
+)
+def test_urls(spark, url, expected):
+    row = judge_urls(spark.createDataFrame([(1, url)], PAGES), RULES).first()
+    assert (row["host"], row["path"], row["rule"], row["verdict"]) == expected
+
+
+def test_url_rules_are_found_by_their_rarest_token(spark):
+    rules = [PatternRule("a", "x", "block", ("common", "rare")), PatternRule("b", "y", "block")]
+    assert build_index(rules, {"common": 9, "rare": 1}) == {"rare": [0], "": [1]}
+    pages = spark.createDataFrame([(1, "http://x.org/zebra", "h"), (1, "http://x.org/zebra", "h")], PAGES + ", host string")
+    found = judge_urls(pages, (), [PatternRule("z", "ze.ra", "block")]).collect()
+    assert [(r["page_id"], r["verdict"], r["pattern_rule"]) for r in found] == [(1, "block", "z")] * 2
+    assert judge_urls(pages.limit(0), RULES).count() == 0 and judge_urls(pages, (), ()).count() == 2
+
+
+# --- packing ------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    return path, tokenizers.Tokenizer.from_file(path)
+
+
+def test_packing_round_trip(spark, tokenizer, odd):
+    path, known = tokenizer
+    odd_texts = ["a  b", " lead", "tail ", "x \n y", "x\n\n  y", "a   b\t c", "  x", "don't  I'll 12 3,4 ...", "<|endoftext|> x", "\0 a", "日本語 テキスト é", "\n", " ", "  "]
+    texts = [None, "", *odd_texts, *(prose(i, 10 + 37 * i % 700) for i in range(40)), prose(99, 9000)]
+    found = pack_documents(frame(spark, texts).repartition(2), path, block_tokens=9000, with_ids=True).toPandas()
+    ids = {i: [*known.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    for doc, own in found.sort_values("start").groupby("doc_id"):
+        assert [x for piece in own["ids"] for x in piece] == ids[doc]
+        assert (own["doc_tokens"] == len(ids[doc])).all() and own["start"].tolist() == [0, *own["length"].cumsum()[:-1]]
+        assert own["ids_crc32"].tolist() == [zlib.crc32(np.array(p, "<u4").tobytes()) for p in own["ids"]]
+    assert set(found["doc_id"]) == set(ids)
+    for _, own in found.sort_values("offset").groupby("sequence_id"):
+        assert own["offset"].tolist() == [0, *own["length"].cumsum()[:-1]] and own["length"].sum() <= 2048
+    assert padding(found.groupby("sequence_id")["length"].sum()).sum() == 0
+    assert pack_documents(odd, path).count() == odd.count() and pack_documents(odd.limit(0), path).count() == 0
+
+
+def test_packing_balances_cost(spark, tokenizer):
+    pieces = pack_documents(frame(spark, [prose(i, 20 + i) for i in range(400)]).coalesce(1), tokenizer[0])
+    cost = sequence_cost(pieces).where("tokens = 2048").toPandas()["cost"]
+    assert len(cost) > 5 and cost.max() < 1.3 * cost.min()
+
+
+# --- language identification --------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def two_languages(spark):
+    rows = [(i, prose(i, 30 + i % 50, "abcdefg" if i % 2 else "efghijkl"), "xx" if i % 2 else "yy") for i in range(240)]
+    return spark.createDataFrame([*rows, (999, None, "xx"), (998, "abc", None)], "doc_id long, text string, lang string")
+
+
+def test_language_model(spark, two_languages, odd):
+    part = F.col("doc_id") % 4
+    model = langid.train(two_languages, part != 2, part == 3)
+    assert model.languages == ["xx", "yy"]
+    for keys, values in model.grams:
+        assert (np.diff(keys) > 0).all() and np.isfinite(values).all()
+    entropies, n = model.entropies(["", "abc", "hijk efgh"])
+    alone = model.entropies(["hijk efgh"])[0][0]
+    assert np.allclose(entropies[2], alone) and n.tolist() == [0, 4, 10]
+    held = two_languages.where("doc_id % 4 = 2").join(langid.identify(two_languages, model), "doc_id")
+    assert held.where("lang <> lang_pred").count() == 0 and held.where("not accepted or score not between 0 and 1").count() == 0
+    marks = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(odd.where("doc_id < 4"), model).collect()}
+    assert marks == {1: ("und", 0.0), 2: ("und", 0.0), 3: ("und", 0.0)}
+    assert {r["lang_pred"] for r in langid.identify(odd, None).collect()} == {"und"} and langid.identify(odd.limit(0), model).count() == 0
+
+
+def test_language_probabilities_sum_to_one(spark, two_languages):
+    counts = langid.count_ngrams(two_languages.where("lang = 'xx' and text is not null").withColumn("fit", F.lit(True))).toPandas()
+    model = langid.build_model(counts)
+    for context in ("   ", "abc", "gg "):
+        total = 0.0
+        for c in "abcdefg ":
+            points = np.array([32] * 4 + [ord(x) for x in context + c], dtype=np.uint32)
+            keys = langid._keys(points)
+            total += float(np.exp(model.log_probabilities([k[-1:] for k in keys], [k[-2:-1] for k in keys])[0, 0]))
+        assert 0.85 < total <= 1.001
+    assert langid.build_model(counts.head(0)) is None
+
+
+# --- toxicity -----------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def abuse(spark):
+    rows = []
+    for i in range(300):
+        words = prose(i, 40).split()
+        if i % 5 == 0:
+            words[3:9:2] = ["zornig", "blaffen" + "abc"[i % 3], "idiot"]
+        elif i % 7 == 0:
+            words[5] = "idiot"
+        rows.append((i, " ".join(words), int(i % 5 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], 1, r[2]) for r in rows] + [(0, 1, 1), (1, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    return docs, labels
+
+
+def test_toxicity(spark, abuse, odd):
+    docs, labels = abuse
+    model = toxicity.train(docs, labels, F.col("doc_id") % 3 != 0)
+    scored = toxicity.score(docs, model).where("doc_id % 3 = 0").collect()
+    assert all((r["predicted"] == 1) == (r["doc_id"] % 5 == 0) == (r["score"] >= 0.5) for r in scored)
+    empty = {r["score"] for r in toxicity.score(frame(spark, [None, "", "... 12"]), model).collect()}
+    assert len(empty) == 1 and 0 <= empty.pop() < 0.5
+    assert toxicity.score(odd, model).count() == odd.count() == toxicity.drop_toxic(odd, model).count()
+    assert toxicity.drop_toxic(odd, model).schema == odd.schema and toxicity.score(odd.limit(0), model).count() == 0
+
+
+def test_toxicity_without_labels(spark, abuse):
+    docs, labels = abuse
+    model = toxicity.train(docs, labels.limit(0), F.col("doc_id") % 3 != 0)
+    rude, plain = (r["score"] for r in toxicity.score(frame(spark, ["you idiot scum trash", "a fine day"]), model).orderBy("doc_id").collect())
+    assert rude > 0.5 > plain
+
+
+def test_label_model_discounts_copies():
+    chosen = np.random.RandomState(0)
+    truth = chosen.rand(2000) < 0.3
+    flip = lambda p: np.where(chosen.rand(2000) < p, ~truth, truth) * 2 - 1
+    noisy = flip(0.35)
+    votes = np.stack([flip(0.1), flip(0.12), flip(0.15), noisy, noisy, noisy, noisy], axis=1)
+    posterior = toxicity.label_model(votes, np.where(chosen.rand(2000) < 0.2, ~truth, truth).astype(int))
+    assert ((posterior >= 0.5) == truth).mean() > 0.93
+
+
+# --- decontamination ----------------------------------------------------------
+
+
+def leaks_by_definition(docs, items, threshold=0.8):
+    def shingles(text):
+        words = [w for w in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if w]
+        return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    own, wanted = {i: shingles(t) for i, t in docs}, {i: shingles(t) for i, t in items}
+    return {(d, i, len(w), len(w & s)) for d, s in own.items() for i, w in wanted.items() if w and len(w & s) >= threshold * len(w) - 1e-9}
+
+
+def test_leaks_are_exact(spark):
+    items = [(i, prose(1000 + i, 4 + 3 * i)) for i in range(25)] + [(90, ""), (91, None), (92, "Two words!")]
+    docs = []
+    for d in range(60):
+        words = prose(d, 400).split()
+        item = (items[d % 25][1] or "").split()
+        for k in range(d % 6):
+            item[(7 * k) % len(item)] = "edited"
+        words[50:50] = item if d % 3 else [w.upper() + "," for w in item]
+        docs.append((d, " ".join(words)))
+    docs += [(70, None), (71, ""), (72, "two WORDS")]
+    table = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(5))
+    found = {tuple(r)[:4] for r in find_leaks(frame(spark, docs), table).collect()}
+    assert found == leaks_by_definition(docs, items) and len(found) > 30
+    kept = decontaminate(frame(spark, docs), table)
+    assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - {f[0] for f in found}
+
+
+def test_leak_edges(spark, odd):
+    items = spark.createDataFrame([(1, prose(1, 80)), (1, None)], "item_id long, text string")
+    assert {(r["doc_id"], r["containment"]) for r in find_leaks(odd, items).collect()} == {(4, 1.0), (5, 1.0)}
+    assert decontaminate(odd, items).columns == odd.columns and decontaminate(odd, items).count() == odd.count() - 3
+    assert find_leaks(odd.limit(0), items).count() == 0 == find_leaks(odd, items.limit(0)).count()
+
+
+# --- SpotSigs -----------------------------------------------------------------
+
+
+def spots(text):
+    words, found, marked = [], [], True
+    for w in (x for x in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if x):
+        if w in COMMON_WORDS:
+            marked = True
+        else:
+            words.append(w)
+            found.append(marked)
+            marked = False
+
+    def hashed(chain):
+        h = 42
+        for w in chain:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    return {hashed(words[i : i + 3]) for i, m in enumerate(found) if m} or {hashed([text])}
+
+
+def spotted(i):
+    return " ".join(w if k % 4 else ["the", "une", "der", "los"][k // 4 % 4] for k, w in enumerate(prose(i, 30 + i).split()))
+
+
+def test_edits_are_likened(spark):
+    texts = ["", None, "the the THE of", "the " * 3000, *(spotted(i) for i in range(30)), "Ünïcode: the çà va—bien"]
+    found = compare_edits(frame(spark, list(reversed(list(enumerate(texts))))).repartition(3)).orderBy("doc_id").collect()
+    plain = [t or "" for t in texts]
+    for i, r in enumerate(found):
+        text, other = plain[i], plain[(i + 1) % len(plain)]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + other[:half]
+        own, changed, following = spots(text), spots(edited), spots(other)
+        assert (r["doc_id"], r["n_chars"], r["edited_sha256"]) == (i, len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert r["near_edited"] == pytest.approx(len(own & changed) / len(own | changed)) and r["near_next"] == pytest.approx(len(own & following) / len(own | following))
+        assert (r["fingerprint"] == r["edited_fingerprint"]) == (own == changed)
+
+
+def test_next_text_over_many_ranges(spark):
+    from symgraph.llm.spotsigs import with_next_text
+
+    docs = frame(spark, [(7 * i % 101, f"t{7 * i % 101}") for i in range(101)] + [(50, "t50b")])
+    found = sorted((r["doc_id"], r["text"], r["next_text"]) for r in with_next_text(docs, rows_per_range=6).collect())
+    order = sorted([(i, f"t{i}") for i in range(101)] + [(50, "t50b")])
+    assert found == [(*x, order[(k + 1) % len(order)][1]) for k, x in enumerate(order)]
+
+
+def test_spot_edges_and_pairs(spark, odd):
+    assert compare_edits(odd).count() == odd.count() and compare_edits(odd.limit(0)).count() == 0
+    texts = [spotted(i) for i in range(20)]
+    texts += [" ".join(t.split()[:-3]) for t in texts] + [texts[0]]
+    pairs, members = near_pairs(frame(spark, texts), 0.6)
+    sets = defaultdict(list)
+    for i, t in enumerate(texts):
+        sets[frozenset(spots(t))].append(i)
+    leads = {min(v): s for s, v in sets.items()}
+    expected = {(a, b) for a in leads for b in leads if a < b and len(leads[a] & leads[b]) >= 0.6 * len(leads[a] | leads[b]) - 1e-9}
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == expected and expected
+    assert {(r["doc_id"], r["set_id"]) for r in members.collect()} == {(i, min(v)) for v in sets.values() for i in v}
+
+
+# --- sharding -----------------------------------------------------------------
+
+
+def test_shards(spark, odd, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/s", target_bytes=4000, fan_in=3, floor_bytes=3000)
+    assert store.compact() is None and store.append(odd.limit(0)) is None
+    with pytest.raises(LookupError):
+        store.read()
+    rows = lambda df: sorted(map(repr, df.select(*odd.columns).collect()))
+    for n in range(7):
+        store.append(odd.withColumn("key", F.lit(n).cast("long")))
+        store.compact()
+    held = store.read()
+    assert rows(held) == sorted(r for n in range(7) for r in rows(odd.withColumn("key", F.lit(n).cast("long"))))
+    sizes = [store.tier(r.size) for r in store.manifest().runs]
+    assert len(sizes) < 7 and all(sizes.count(t) < 3 for t in sizes)
+    first = store.read(1)
+    assert first.count() == odd.count()
+    with pytest.raises(ValueError, match="columns"):
+        store.append(odd.drop("label"))
+    before = len(store.versions())
+    assert before > 7 and store.expire(keep=1) > 0 and len(store.versions()) == 1 and rows(store.read()) == rows(held)
+
+
+def test_commits_do_not_overwrite(spark, tmp_path):
+    one, two = (ShardStore(spark, f"file://{tmp_path}/s") for _ in range(2))
+    docs = frame(spark, ["a", "b"])
+    base = one.append(docs)
+    two.append(docs)
+    with pytest.raises(ConcurrentCommit):
+        one._commit(base.schema, (), base.version)
+    assert one.read().count() == 4
+    assert json.loads(one.manifest().schema)["type"] == "struct"
