@@ -4,10 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
-from collections.abc import Iterable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,28 +33,16 @@ def _shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` materialised in the shared folder, so that a lost executor costs no recomputation."""
-    _shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, kind: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back (columnar and prunable)."""
+    """``df`` written as Parquet in the shared folder and read back; the folder goes when the driver ends."""
     spark = df.sparkSession
     path = shared_dir(spark, kind)
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def crc_mod(column: Column, modulus: int) -> Column:
     """crc32 of the value as text, modulo ``modulus`` (null for a null value)."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)
-
-
-def crc_mod_py(value: int, modulus: int) -> int:
-    return zlib.crc32(str(value).encode()) % modulus
-
-
-def text_lengths(texts: Iterable[bytes]) -> np.ndarray:
-    return np.fromiter(map(len, texts), dtype=np.int64)

@@ -82,6 +82,8 @@ def repeated_runs(docs: DataFrame, min_words: int = 20) -> DataFrame:
     names = written(named_stretches(docs, min_words), "line-names")
     at = F.struct("doc_id", "start")
     classes = names.groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies"), F.min(at).alias("earliest")).where("copies > 1")
+    # Written, so that the join exchanges both sides and a hot name's rows can be split.
+    classes = written(classes, "line-classes")
     later = names.join(classes, ["a", "b"]).where(~at.eqNullSafe(F.col("earliest")))
     stretch = later.select("doc_id", F.col("start").alias("first"), (F.col("start") + F.col("n")).alias("past")).distinct()
     order = Window.partitionBy("doc_id").orderBy("first", "past")

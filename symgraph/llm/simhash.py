@@ -150,6 +150,7 @@ def links(nodes: DataFrame, sets: Sequence[Sequence[int]], min_shared: int, max_
     """
     index = written(nodes.select("id", F.explode(_posting_keys(F.col("fp"), sets)).alias("key")), "postings")
     lists = index.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / _BLOCK).cast("int").alias("blocks"))
+    lists = written(lists, "posting-lists")  # so that the join can split a hot key's rows
     members = index.join(lists, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # Each block meets every other one and itself: (lower, upper) names the task's share.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
