@@ -193,21 +193,27 @@ def _split_units(units: DataFrame, width: int, length: int) -> DataFrame:
     return units.mapInArrow(run, _UNITS)
 
 
-def repeats_among(bodies: list[bytes], windows: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Maximal repeats of ``length`` bytes or more: length, body numbers, offsets in the bodies."""
+def covered_spans(bodies: list[bytes], windows: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
+    """Body number, begin and end of what maximal repeats of ``length`` bytes or more cover, merged."""
     data = b"".join(bodies)
     octets = np.frombuffer(data, np.uint8)
     sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
     ends = np.cumsum(sizes)
     begins = ends - sizes
     owner = np.repeat(np.arange(len(bodies)), sizes)
-    offsets = np.arange(len(data)) - begins[owner]
-    starts = np.flatnonzero(offsets < windows[owner])
+    starts = np.flatnonzero(np.arange(len(data)) - begins[owner] < windows[owner])
     before = np.r_[-1, octets[:-1].astype(np.int64)]
     before[begins] = -1  # what a body's first window follows is in another block
     array = EnhancedSuffixArray(octets, ends[owner], starts, length)
+    reach = np.zeros(len(data), np.int64)
     for depth, places in array.maximal_repeats(length, before):
-        yield depth, owner[places], offsets[places]
+        reach[places] = np.maximum(reach[places], depth)
+    at = np.flatnonzero(reach)
+    past = np.maximum.accumulate(at + reach[at])
+    new = np.flatnonzero(np.r_[True, (at[1:] > past[:-1]) | (owner[at[1:]] != owner[at[:-1]])]) if len(at) else at
+    for lo, hi in zip(at[new].tolist(), past[np.r_[new[1:] - 1, len(at) - 1]].tolist() if len(at) else [], strict=True):
+        o = int(owner[lo])
+        yield o, lo - int(begins[o]), hi - int(begins[o])
 
 
 def _found(units: DataFrame, length: int) -> DataFrame:
@@ -221,12 +227,11 @@ def _found(units: DataFrame, length: int) -> DataFrame:
         def scan(rows: list[dict]) -> pa.RecordBatch:
             bodies = [r["body"] for r in rows]
             windows = np.array([r["windows"] for r in rows])
-            spans: set[tuple] = set()
-            for depth, owners, offsets in repeats_among(bodies, windows, length):
-                for o, at in zip(owners.tolist(), offsets.tolist(), strict=True):
-                    r = rows[o]
-                    if r["wanted"]:
-                        spans.add((r["doc_id"], r["text_key"], r["first"] + at, r["first"] + at + depth))
+            spans = []
+            for o, begin, end in covered_spans(bodies, windows, length):
+                r = rows[o]
+                if r["wanted"]:
+                    spans.append((r["doc_id"], r["text_key"], r["first"] + begin, r["first"] + end))
             columns = list(zip(*spans, strict=True)) or [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "text_key", "from", "to"])
@@ -254,13 +259,13 @@ def _found(units: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 50, max_blocks: int = 4000) -> DataFrame:
     """Byte spans ``(doc_id, text_key, from, to)`` of ``docs(doc_id, text_key, body)`` covered by repeats."""
     blocks = written(_blocks(docs, length, gram), "blocks")
-    seen = blocks.groupBy("anchor_hash").count().where("count > 1").select("anchor_hash")
+    seen = written(blocks.groupBy("anchor_hash").count().where("count > 1").select("anchor_hash"), "anchors")
     kept = written(blocks.join(seen, "anchor_hash"), "repeated-anchors")
     one = F.struct("doc_id", "text_key", "first", "windows", "anchor")
     classes = written(kept.groupBy("anchor_hash", "block_hash").agg(F.count(F.lit(1)).alias("copies"), F.min(one).alias("one")), "block-classes")
     copied = kept.join(classes.where("copies > 1").select("anchor_hash", "block_hash"), ["anchor_hash", "block_hash"])
     spans = copied.select("doc_id", "text_key", F.col("first").alias("from"), (F.col("first") + F.col("windows") + (length - 1)).alias("to"))
-    mixed = classes.groupBy("anchor_hash").count().where("count > 1").select("anchor_hash")
+    mixed = written(classes.groupBy("anchor_hash").count().where("count > 1").select("anchor_hash"), "mixed-anchors")
     wanted = classes.join(mixed, "anchor_hash").select("anchor_hash", "one.*", (F.col("copies") == 1).alias("wanted"))
     units = written(_units(docs, wanted, length), "units")
     for width in (*SPLITS, 0):
