@@ -37,7 +37,8 @@ COMMON_WORDS = tuple(
 )
 
 _MARK = "\u0001"
-_COMMON = f" (?:(?:{'|'.join(COMMON_WORDS)}) )+"
+# One common word at a time: a repeated alternation would recurse once for each repeat.
+_COMMON = f" (?:{'|'.join(COMMON_WORDS)})(?= )"
 
 
 def signature_columns(df: DataFrame, chain: int = 3, **texts: str) -> DataFrame:
@@ -47,8 +48,9 @@ def signature_columns(df: DataFrame, chain: int = 3, **texts: str) -> DataFrame:
     """
     for name, text in texts.items():
         spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-        marked = F.concat(F.lit(_MARK), F.ltrim(F.regexp_replace(spaced, _COMMON, f" {_MARK}")))
-        df = df.withColumn("_words", F.filter(F.split(marked, " "), lambda w: ~w.isin("", _MARK, _MARK * 2)))
+        joined = F.replace(F.regexp_replace(spaced, _COMMON, f" {_MARK}"), F.lit(f"{_MARK} "), F.lit(_MARK))
+        marked = F.concat(F.lit(_MARK), F.ltrim(joined))
+        df = df.withColumn("_words", F.filter(F.split(marked, " "), lambda w: F.ltrim(w, F.lit(_MARK)) != ""))
         df = df.withColumn("_plain", F.transform("_words", lambda w: F.ltrim(w, F.lit(_MARK))))
         starts = F.filter(F.transform("_words", lambda w, i: F.when(w.startswith(_MARK), i)), lambda i: i.isNotNull())
         hashed = F.transform(starts, lambda i: F.xxhash64(*(F.get(F.col("_plain"), i + k) for k in range(chain))))
