@@ -37,8 +37,6 @@ COMMON_WORDS = tuple(
 )
 
 _MARK = "\u0001"
-# One common word at a time: a repeated alternation would recurse once for each repeat.
-_COMMON = f" (?:{'|'.join(COMMON_WORDS)})(?= )"
 
 
 def signature_columns(df: DataFrame, chain: int = 3, **texts: str) -> DataFrame:
@@ -48,7 +46,9 @@ def signature_columns(df: DataFrame, chain: int = 3, **texts: str) -> DataFrame:
     """
     for name, text in texts.items():
         spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-        joined = F.replace(F.regexp_replace(spaced, _COMMON, f" {_MARK}"), F.lit(f"{_MARK} "), F.lit(_MARK))
+        # Looked up one by one: as a pattern, a list of words is tried word by word at each place.
+        shown = F.transform(F.split(spaced, " "), lambda w: F.when(w.isin(*COMMON_WORDS), _MARK).otherwise(w))
+        joined = F.replace(F.array_join(shown, " "), F.lit(f"{_MARK} "), F.lit(_MARK))
         marked = F.concat(F.lit(_MARK), F.ltrim(joined))
         df = df.withColumn("_words", F.filter(F.split(marked, " "), lambda w: F.ltrim(w, F.lit(_MARK)) != ""))
         df = df.withColumn("_plain", F.transform("_words", lambda w: F.ltrim(w, F.lit(_MARK))))
