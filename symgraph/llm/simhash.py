@@ -13,6 +13,10 @@ Fingerprints that many documents share are collapsed first. A long posting list
 as pairs of blocks; a task gets one pair of blocks, compares it in memory, and emits only a
 spanning forest of the verified links, so links between dense groups are never expanded.
 
+For the pipeline's looser likeness no shared byte is guaranteed. ``wide_near_duplicates``
+therefore files documents under some of their shingles, so that no pair can be missed, takes
+wide fingerprints as a sieve and links pairs by the Jaccard similarity of their shingles.
+
 Defined cases: a null or empty text, or one of white space, has fingerprint zero and links
 like any other. Repeated rows and ties share a component. Extra columns are ignored. An
 empty table gives no rows.
@@ -20,11 +24,13 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +49,23 @@ QUADRUPLES = tuple(q for q in combinations(range(8), 4) if q[0] ^ q[1] ^ q[2] ^
 
 def fingerprints_of(texts: Sequence[bytes], words: int, lanes: int, seed: int = 42) -> np.ndarray:
     """Fingerprints, one row of ``lanes`` unsigned integers for each text."""
+    return _signed(len(texts), *_shingle_hashes(texts, words, seed), lanes)
+
+
+def _signed(rows: int, full: np.ndarray, held: np.ndarray, h: np.ndarray, lanes: int) -> np.ndarray:
+    out = np.zeros((rows, lanes), dtype=np.uint64)
+    for lane in range(lanes if len(full) else 0):
+        out[full, lane] = majority_bits(remix(h, lane) if lane else h, held)
+    return out
+
+
+def _shingle_hashes(texts: Sequence[bytes], words: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts that have words, how many shingles each has, and the shingles' hashes, one text after the other."""
     parts = [t.translate(_LOWER).split() for t in texts]
     n_words = np.fromiter(map(len, parts), np.int64, len(parts))
-    out = np.zeros((len(parts), lanes), dtype=np.uint64)
     full = np.flatnonzero(n_words)
     if not len(full):
-        return out
+        return full, full, np.zeros(0, np.uint64)
     flat = [w for p in parts for w in p]
     data = b" ".join(flat)
     sizes = np.fromiter(map(len, flat), np.int64, len(flat))
@@ -59,10 +76,7 @@ def fingerprints_of(texts: Sequence[bytes], words: int, lanes: int, seed: int =
     held = np.maximum(n - words + 1, 1)
     first = np.repeat(base - (np.cumsum(held) - held), held) + np.arange(held.sum())
     last = first + np.repeat(np.minimum(n, words) - 1, held)
-    h = xxh64_slices(data, begins[first], ends[last] - begins[first], seed)
-    for lane in range(lanes):
-        out[full, lane] = majority_bits(remix(h, lane) if lane else h, held)
-    return out
+    return full, held, xxh64_slices(data, begins[first], ends[last] - begins[first], seed)
 
 
 def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1) -> DataFrame:
@@ -90,17 +104,6 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def position_sets(lanes: int, keys: int, size: int = 3) -> tuple[tuple[int, ...], ...]:
-    """``keys`` sets of ``size`` byte positions, spread evenly over the ``8 * lanes`` there are."""
-    positions = 8 * lanes
-    order = np.random.RandomState(7)
-    out: list[tuple[int, ...]] = []
-    while len(out) < keys:
-        dealt = order.permutation(positions)
-        out += [tuple(sorted(map(int, dealt[i : i + size]))) for i in range(0, positions - size + 1, size)]
-    return tuple(out[:keys])
-
-
 def _posting_keys(fp: Column, sets: Sequence[Sequence[int]]) -> Column:
     """One number for each set of positions: which set it is, then the bytes it has there."""
 
@@ -210,18 +213,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataF
     return _classes(docs, words, 1, QUADRUPLES, 8 - max_bits, max_bits)
 
 
-def wide_near_duplicates(
-    docs: DataFrame, words: int = 5, lanes: int = 8, keys: int = 128, max_differing: float = 0.172, min_shared: int = 8
-) -> DataFrame:
-    """The same under fingerprints of ``64 * lanes`` bits, for a looser likeness.
-
-    Sets with Jaccard similarity s differ in a share acos(2s / (1 + s)) / pi of the bits:
-    0.15 for s = 0.8. So many differing bits leave no byte that must be shared; ``keys``
-    triples of positions find a pair at s = 0.8 with a chance over 0.9, at 0.85 over 0.98.
-    """
-    return _classes(docs, words, lanes, position_sets(lanes, keys), min_shared, int(64 * lanes * max_differing))
-
-
 def _classes(docs: DataFrame, words: int, lanes: int, sets: Sequence[Sequence[int]], min_shared: int, max_bits: int) -> DataFrame:
     found = written(fingerprints(docs, words, lanes), "fingerprints")
     nodes = written(found.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct-fingerprints")
@@ -230,8 +221,120 @@ def _classes(docs: DataFrame, words: int, lanes: int, sets: Sequence[Sequence[in
     return found.join(named, "fp")
 
 
+def _frequent(docs: DataFrame, words: int, sample: int = 20_000, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that recur in a sample of ``docs``, sorted, and how often: only the order of filing follows from it."""
+    share = min(1.0, sample / max(1, docs.count()))
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    listed = _shingled(some, words, 1, 1.0, None).select(F.explode("shingles").alias("shingle"))
+    rows = listed.groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(most).collect()
+    rows.sort(key=lambda r: r["shingle"])
+    return np.array([r["shingle"] for r in rows], np.int64), np.array([r["count"] for r in rows], np.int64)
+
+
+def _shingled(docs: DataFrame, words: int, lanes: int, threshold: float, frequent: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """Every document's fingerprint and its set of shingles (64-bit hashes), and the shingles it is filed under.
+
+    These are the first n - ceil(threshold * n) + 1 of its n shingles in an order common to all
+    documents, rare ones first: two sets of at least that Jaccard similarity share one of them.
+    ``set_id`` is a hash of the set.
+    """
+    names = ["doc_id", "set_id", "n", "fp", "filed", "shingles"]
+
+    def lists(parts: list[np.ndarray]) -> pa.ListArray:
+        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
+
+    def batch_of(ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
+        full, held, h = _shingle_hashes(texts, words, 42)
+        fp = _signed(len(texts), full, held, h, lanes).view(np.int64)
+        sets = [np.zeros(0, np.int64)] * len(texts)
+        filed = list(sets)
+        starts = np.cumsum(held) - held
+        for row, start, size in zip(full.tolist(), starts.tolist(), held.tolist(), strict=True):
+            own = sets[row] = np.unique(h[start : start + size].view(np.int64))
+            order = np.arange(len(own))
+            if frequent is not None and len(frequent[0]):
+                at = np.minimum(np.searchsorted(frequent[0], own), len(frequent[0]) - 1)
+                order = np.argsort(np.where(frequent[0][at] == own, frequent[1][at], 0), kind="stable")
+            filed[row] = own[order[: len(own) - math.ceil(threshold * len(own) - 1e-9) + 1]]
+        named = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+        sizes = np.fromiter(map(len, sets), np.int32, len(sets))
+        return pa.RecordBatch.from_arrays([ids, pa.array(named), pa.array(sizes), lists(list(fp)), lists(filed), lists(sets)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lo, size = batch.column(1), 0, 0
+            held: list[bytes] = []
+            for i in range(len(texts)):
+                held.append(texts[i].as_py() or b"")
+                size += len(held[-1])
+                if size >= _CHUNK or i == len(texts) - 1:
+                    yield batch_of(batch.column(0).slice(lo, len(held)), held)
+                    lo, size, held = i + 1, 0, []
+
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
+    return source.mapInArrow(run, "doc_id long, set_id long, n int, fp array<long>, filed array<long>, shingles array<long>")
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, max_bits: int) -> DataFrame:
+    """Those of ``pairs(src, dst)`` whose sets have a Jaccard similarity of ``threshold``; the fingerprints are a sieve."""
+    side = lambda df, end, column: df.select(F.col("set_id").alias(end), F.col(column).alias(f"_{end}"))
+    signed = pairs.join(side(nodes, "src", "fp"), "src").join(side(nodes, "dst", "fp"), "dst")
+    bits = F.aggregate(F.zip_with("_src", "_dst", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
+    close = written(signed.where(bits <= max_bits).select("src", "dst"), "close-pairs")
+    ends = close.select(F.explode(F.array("src", "dst")).alias("set_id")).distinct()
+    held = written(sets.join(ends, "set_id", "left_semi").dropDuplicates(["set_id"]), "close-sets")
+    both = close.join(side(held, "src", "shingles"), "src").join(side(held, "dst", "shingles"), "dst")
+    shared = F.size(F.array_intersect("_src", "_dst"))
+    return both.where(shared >= F.lit(threshold) * (F.size("_src") + F.size("_dst") - shared) - 1e-9).select("src", "dst")
+
+
+def similar_sets(nodes: DataFrame, sets: DataFrame, threshold: float, max_bits: int) -> DataFrame:
+    """Components ``(id, component)`` of all pairs of distinct sets that are alike (none left out).
+
+    ``nodes(set_id, n, fp, filed)``, ``sets(set_id, shingles)``. Alike sets meet in a posting
+    list. A list's members are first compared with two of them, one of the smallest id and one
+    by chance, which joins dense groups by few comparisons; pairs that this leaves in
+    different components are then compared one by one.
+    """
+    index = written(nodes.select("set_id", "n", F.explode("filed").alias("key")), "postings")
+    chance = F.xxhash64("set_id", "key")
+    member = F.struct("set_id", "n")
+    lists = index.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(member).alias("first"), F.min(F.struct(chance.alias("chance"), "set_id", "n")).alias("other"))
+    lists = written(lists.where("members > 1").select("key", "first", F.struct("other.set_id", "other.n").alias("other")), "posting-lists")
+    members = written(index.join(lists, "key"), "members")
+    near = lambda a, b: F.least(a, b) >= F.lit(threshold) * F.greatest(a, b) - 1e-9
+    stars = members.select("set_id", "n", F.explode(F.array("first", "other")).alias("with"))
+    stars = stars.where((F.col("set_id") != F.col("with.set_id")) & near(F.col("n"), F.col("with.n")))
+    stars = stars.select(F.least("set_id", "with.set_id").alias("src"), F.greatest("set_id", "with.set_id").alias("dst")).distinct()
+    found = written(_alike(stars, nodes, sets, threshold, max_bits), "star-links")
+    joined = connected_components(found)
+    placed = members.select("key", "set_id", "n").join(joined.withColumnRenamed("id", "set_id"), "set_id", "left")
+    placed = written(placed.select("key", "set_id", "n", F.coalesce("component", "set_id").alias("component")), "placed-members")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a <> z").select("key")
+    open_ = written(placed.join(mixed, "key"), "open-members")
+    one, two = (open_.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("set_id", "n", "component"))) for x in "ab")
+    apart = (F.col("set_id_a") < F.col("set_id_b")) & (F.col("component_a") != F.col("component_b")) & near(F.col("n_a"), F.col("n_b"))
+    rest = one.join(two, "key").where(apart).select(F.col("set_id_a").alias("src"), F.col("set_id_b").alias("dst")).distinct()
+    return connected_components(written(found.unionByName(_alike(rest, nodes, sets, threshold, max_bits)), "links"))
+
+
+def wide_near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 8, threshold: float = 0.8, max_differing: float = 0.3) -> DataFrame:
+    """``(doc_id, set_id, component)``: documents linked by a Jaccard similarity of ``threshold`` of their shingles.
+
+    Every such pair is found, and no other links. Fingerprints of ``64 * lanes`` bits spare
+    most comparisons: at s = 0.8 a share acos(2s / (1 + s)) / pi = 0.15 of the bits differs
+    (at most 0.19, for sets of 4 and 5), and ``max_differing`` is over six standard
+    deviations above that.
+    """
+    found = written(_shingled(docs, words, lanes, threshold, _frequent(docs, words)), "shingles")
+    nodes = written(found.select("set_id", "n", "fp", "filed").dropDuplicates(["set_id"]), "distinct-sets")
+    classes = similar_sets(nodes, found.select("set_id", "shingles"), threshold, int(64 * lanes * max_differing))
+    return found.select("doc_id", "set_id").join(classes.withColumnRenamed("id", "set_id"), "set_id", "left").select("doc_id", "set_id", F.coalesce("component", "set_id").alias("component"))
+
+
 def one_of_each(docs: DataFrame, **likeness: float) -> DataFrame:
     """``docs`` less all but the first document (by doc_id) of each class of ``wide_near_duplicates``."""
     classes = wide_near_duplicates(docs, **likeness)
-    kept = written(classes.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
+    kept = written(classes.groupBy("component").agg(F.min("doc_id").alias("_kept")).select("_kept").distinct(), "kept")
     return docs.join(kept, docs["doc_id"].cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])

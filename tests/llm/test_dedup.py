@@ -205,3 +205,26 @@ def test_suffix_array_and_intervals():
             places[text[s : s + n]].append(s)
     maximal = {(len(x), tuple(p)) for x, p in places.items() if len(p) > 1 and len({text[i - 1 : i] for i in p}) > 1 - (0 in p) and len({text[i + len(x) : i + len(x) + 1] for i in p}) > 1}
     assert found == maximal
+
+
+def test_wide_classes_are_those_of_exact_likeness(spark):
+    texts, held = [], []
+    for i in range(120):
+        base = prose(700 + i % 40, 100 + 5 * (i % 40)).split()
+        own = list(base)
+        for k in range(i // 40 * (1 + i % 4)):  # each edited word costs up to five shingles
+            own[(11 + 23 * k) % len(own)] = f"w{i}x{k}"
+        texts.append(" ".join(own))
+    texts += ["a b c d e f g h", "a b c d e f g h i", "a b c d e f g", "", None, "One two", "one TWO"]
+    for t in texts:
+        parts = (t or "").lower().split()
+        held.append({tuple(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))} if parts else set())
+    like = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    near = [[j for j in range(len(held)) if like(held[i], held[j])] for i in range(len(held))]
+    around = [len(a & b) / len(a | b) for a in held for b in held if a and a is not b]
+    assert sum(0.8 <= x < 0.86 for x in around) > 20 < sum(0.7 < x < 0.8 for x in around)
+    leader = list(range(len(held)))
+    for _ in held:
+        leader = [min(leader[j] for j in near[i]) for i in range(len(held))]
+    kept = {r["doc_id"] for r in one_of_each(frame(spark, texts)).collect()}
+    assert kept == set(leader)
