@@ -2,8 +2,11 @@
 
 A text's anchors are the common words of several languages, and its first word. Each anchor
 (the last of a row of them) starts a signature: the next three content words, common words
-skipped. The set of a text's signatures is its fingerprint; sets are likened by Jaccard
-similarity.
+skipped. Where anchors are missing or far apart (a text with fewer than ``FEW_ANCHORS``, or
+more than ``LONG_ROW`` content words without one), every content word that no anchor's
+chain holds starts a signature too. In shorter rows the words after an anchor's chain stay
+outside the fingerprint, as usual for such signatures. The set of a text's signatures is its
+fingerprint; sets are likened by Jaccard similarity.
 
 ``near_pairs`` finds all pairs above a threshold: sets are partitioned by length, a set can
 only be near sets of its own and the neighbouring partition, each set is filed under its
@@ -36,6 +39,11 @@ COMMON_WORDS = tuple(
     )
 )
 
+#: A text with fewer anchors has signatures over all its content words.
+FEW_ANCHORS = 4
+#: Content words from an anchor to the next common word, beyond which the later ones start signatures.
+LONG_ROW = 8
+
 _MARK = "\u0001"
 
 
@@ -53,10 +61,16 @@ def signature_columns(df: DataFrame, chain: int = 3, **texts: str) -> DataFrame:
         df = df.withColumn("_words", F.filter(F.split(marked, " "), lambda w: F.ltrim(w, F.lit(_MARK)) != ""))
         df = df.withColumn("_plain", F.transform("_words", lambda w: F.ltrim(w, F.lit(_MARK))))
         starts = F.filter(F.transform("_words", lambda w, i: F.when(w.startswith(_MARK), i)), lambda i: i.isNotNull())
-        hashed = F.transform(starts, lambda i: F.xxhash64(*(F.get(F.col("_plain"), i + k) for k in range(chain))))
+        df = df.withColumn("_starts", starts)
+        longest = F.when(F.size("_starts") < FEW_ANCHORS, chain).otherwise(LONG_ROW)
+        ends = F.concat(F.slice("_starts", 2, F.greatest(F.size("_starts") - 1, F.lit(0))), F.array(F.size("_words")))
+        rows = F.filter(F.zip_with("_starts", ends, lambda a, z: F.struct(a.alias("a"), z.alias("z"))), lambda r: r["z"] - r["a"] > longest)
+        further = F.flatten(F.transform(rows, lambda r: F.sequence(r["a"] + chain, r["z"] - 1)))
+        df = df.withColumn("_starts", F.concat("_starts", further))
+        hashed = F.transform("_starts", lambda i: F.xxhash64(*(F.get(F.col("_plain"), i + k) for k in range(chain))))
         df = df.withColumn("_found", F.array_sort(F.array_distinct(hashed)))
         df = df.withColumn(name, F.when(F.size("_found") > 0, F.col("_found")).otherwise(F.array(F.xxhash64(text))))
-        df = df.drop("_words", "_plain", "_found")
+        df = df.drop("_words", "_plain", "_starts", "_found")
     return df
 
 

@@ -274,6 +274,21 @@ def test_spot_edges_and_pairs(spark, odd):
     assert {(r["doc_id"], r["set_id"]) for r in members.collect()} == {(i, min(v)) for v in sets.values() for i in v}
 
 
+def test_every_part_of_a_text_without_common_words_counts(spark):
+    from symgraph.llm.spotsigs import signature_columns
+
+    plain = " ".join(f"x{i}" for i in range(60))
+    halved = " ".join([*(f"x{i}" for i in range(30)), *(f"y{i}" for i in range(30))])
+    late = spotted(3) + " the " + plain
+    clauses = "\u4eca\u65e5\u306f\u3001\u826f\u3044\u3001\u5929\u6c17\u3001\u3067\u3059\u306d"
+    pairs = [(plain, halved), (late, late.replace("x40 ", "z40 ")), (clauses, clauses + "\u3048"), (plain, plain + " x60")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i long, a string, b string")
+    found = signature_columns(df, own="a", changed="b").orderBy("i").collect()
+    assert all(set(r["own"]) != set(r["changed"]) for r in found)
+    # Chains start at word 0 (an anchor, which holds words 1 and 2) and at words 3 to 59.
+    assert len(found[0]["own"]) == 58 and len(set(found[0]["own"]) & set(found[0]["changed"])) == 26
+
+
 # --- sharding -----------------------------------------------------------------
 
 
