@@ -36,13 +36,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     lines = F.size(F.split("text", "\n", -1))
-    kept = dedup_lines(docs.select("doc_id", "text", lines.cast("long").alias("n_lines")))
-    removed = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["past"] - r["first"])
+    kept = dedup_lines(docs.select("doc_id", "text", lines.cast("long").alias("n_lines")), runs="runs")
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["past"] - r["first"])
     return kept.select(
         "doc_id",
         "n_lines",
         F.coalesce(removed, F.lit(0)).alias("n_removed"),
-        F.coalesce(F.size("_runs"), F.lit(0)).cast("long").alias("n_runs"),
+        F.coalesce(F.size("runs"), F.lit(0)).cast("long").alias("n_runs"),
         F.sha2("text", 256).alias("kept_sha256"),
     )
 

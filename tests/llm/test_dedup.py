@@ -50,6 +50,24 @@ def test_line_dedup_is_exact(spark):
     assert found == kept_lines(texts, 6)
 
 
+def test_line_dedup_tells_documents_apart_by_text(spark):
+    run = "one two three\nfour five six"
+    rows = [(7, run), (7, "keep one\n" + run), (None, "keep two\n" + run), (None, "keep two\n" + run), (None, "keep three\nkeep two"), (8, run), (8, run)]
+    found = dedup_lines(frame(spark, rows), 6).collect()
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in found)
+    # The rows without an id come first, so theirs are the first copies.
+    assert left == [(0, "keep three\nkeep two"), (0, "keep two\n" + run), (0, "keep two\n" + run), (7, ""), (7, "keep one"), (8, ""), (8, "")]
+
+
+def test_line_dedup_of_long_blank_and_repeating_texts(spark):
+    chosen = random.Random(5)
+    blanks = "\n" * 60
+    texts = ["a b" + blanks + "c d", "a b" + blanks + "c d" + blanks, "\n".join(chosen.choice(["x", "y", ""]) for _ in range(90))]
+    texts += ["\n".join(["p q r"] * 40), "\n".join(["p q r"] * 9 + ["s"] + ["p q r"] * 3)]
+    found = {r["doc_id"]: r["text"] for r in dedup_lines(frame(spark, texts), 4).collect()}
+    assert found == kept_lines(list(enumerate(texts)), 4)
+
+
 def test_line_dedup_edges(spark, odd):
     found = dedup_lines(odd, 20).collect()
     assert len(found) == odd.count()
