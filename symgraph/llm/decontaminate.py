@@ -1,8 +1,9 @@
 """Benchmark decontamination: short test items found inside long documents.
 
-Shingles are runs of five words (letters and digits, lower-cased); an item or document with
-fewer words has one shingle of them all. An item leaks into a document that holds at least
-``threshold`` of the item's distinct shingles, however long the document is.
+Shingles are runs of five words (letters and digits, lower-cased); an item of fewer words is
+one shingle of them all, which is looked for among the documents' runs of as many words. An
+item leaks into a document that holds at least ``threshold`` of the item's distinct
+shingles, however long the document is.
 
 The search is containment MinHash: items are partitioned by size (powers of two of their
 shingle counts), each partition has a sketch length for its largest size, and an item's
@@ -16,16 +17,19 @@ Only the sketches are broadcast, behind a check of their size; beyond it the sam
 shuffled. DataFrame functions throughout.
 
 Defined cases: null, empty and wordless texts hold nothing and, as items, are in nothing.
-Repeated rows of a doc_id or item_id count as one text that holds what any of them holds.
-Extra columns, also of equal names in both tables, are ignored. Empty tables give no rows.
+Rows that agree in id and text count once; rows that share an id only, or have none, are
+told apart by their texts. Extra columns, whatever their names, pass through
+``decontaminate`` and are ignored by ``find_leaks``. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.llm.common import written
+from symgraph.llm.common import as_rows, text_key, written
 
 #: Rows of a join's small side (some 40 bytes each) up to which it is broadcast.
 BROADCAST_ROWS = 500_000
@@ -36,56 +40,90 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _shingled(source: DataFrame, key: str, words: int, as_text: bool) -> DataFrame:
-    """``(key, shingle)``, repeats included: the shingle's text, or a hash of its words."""
-    n = F.size("_words")
-    held = F.when(n >= words, F.sequence(F.lit(0), n - words)).when(n > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    if as_text:
-        make = lambda i: F.array_join(F.slice(F.col("_words"), i + 1, words), " ")
-    else:
-        make = lambda i: F.xxhash64(*(F.get(F.col("_words"), i + k) for k in range(words)))
-    listed = source.select(F.col(key), words_of(F.col("text").cast("string")).alias("_words"))
-    return listed.select(key, F.explode(F.transform(held, make)).alias("shingle"))
+_DOC, _ITEM = ("doc_id", "doc_key"), ("item_id", "item_key")
+
+
+def _texts(source: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``(id, key, text)``: rows by id and text."""
+    text = F.col("text").cast("string")
+    return source.select(F.col(names[0]).cast("long").alias(names[0]), text_key(text).alias(names[1]), text.alias("text"))
+
+
+def _shingled(texts: DataFrame, names: Sequence[str], widths: Sequence[int], as_text: bool) -> DataFrame:
+    """``(id, key, shingle)``, repeats included: every run of each width, as text or as a hash of its words."""
+
+    def runs(width: int) -> Column:
+        if as_text:
+            make = lambda i: F.array_join(F.slice(F.col("_words"), i + 1, width), " ")
+        else:
+            make = lambda i: F.xxhash64(*(F.get(F.col("_words"), i + k) for k in range(width)))
+        n, none = F.size("_words"), F.array().cast("array<string>" if as_text else "array<bigint>")
+        return F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), make)).otherwise(none)
+
+    listed = texts.select(*names, words_of(F.col("text")).alias("_words"))
+    return listed.select(*names, F.explode(F.concat(*map(runs, widths))).alias("shingle"))
+
+
+def _of_items(items: DataFrame, words: int, widths: Sequence[int], as_text: bool) -> DataFrame:
+    """Distinct shingles of the items, each of the one width that its item has."""
+    sized = items.withColumn("_width", F.least(F.size(words_of(F.col("text"))), F.lit(words)))
+    out = None
+    for width in widths:
+        own = _shingled(sized.where(F.col("_width") == width), _ITEM, [width], as_text)
+        out = own if out is None else out.unionByName(own)
+    return out.distinct()
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def item_sketches(items: DataFrame, words: int, threshold: float) -> DataFrame:
-    """``(item_id, n_item, at_least, shingle)``: the smallest hashes of each item, by size partition."""
-    hashes = _shingled(items, "item_id", words, as_text=False).distinct()
-    sized = hashes.groupBy("item_id").agg(F.array_sort(F.collect_list("shingle")).alias("hashes"))
+def item_sketches(shingles: DataFrame, threshold: float) -> DataFrame:
+    """``(item, at_least, shingle)`` of the items' distinct hashed ``shingles``: the smallest of each, by size partition."""
+    sized = shingles.groupBy(*_ITEM).agg(F.array_sort(F.collect_list("shingle")).alias("hashes"))
     n = F.size("hashes")
     largest = F.call_function("shiftleft", F.lit(1), F.length(F.bin(n))) - 1  # of the partition: sizes with as many binary digits
     missing = n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int")
     sketch = F.least(n, 2 * (largest - F.ceil(largest * F.lit(threshold) - 1e-9).cast("int")) + 1)
-    out = sized.select("item_id", n.alias("n_item"), (sketch - missing).alias("at_least"), F.slice("hashes", 1, sketch).alias("sketch"))
-    return out.select("item_id", "n_item", "at_least", F.explode("sketch").alias("shingle"))
+    out = sized.select(*_ITEM, (sketch - missing).alias("at_least"), F.slice("hashes", 1, sketch).alias("sketch"))
+    return out.select(*_ITEM, "at_least", F.explode("sketch").alias("shingle"))
+
+
+def _leaks(docs: DataFrame, items: DataFrame, words: int, threshold: float) -> DataFrame:
+    """``(doc_id, doc_key, item_id, item_key, n_item, n_shared)`` of ``docs`` and ``items`` by id and text."""
+    widths = items.select(F.least(F.size(words_of(F.col("text"))), F.lit(words)).alias("n")).where("n > 0").distinct().collect()
+    widths = sorted(r["n"] for r in widths)  # at most ``words`` of them
+    if not widths:
+        return docs.crossJoin(items.select(*_ITEM)).select(*_DOC, *_ITEM, F.lit(0).cast("long").alias("n_item"), F.lit(0).cast("long").alias("n_shared")).limit(0)
+    hashed = _of_items(items, words, widths, as_text=False)
+    sketches = written(item_sketches(hashed, threshold), "sketches")
+    hits = _shingled(docs, _DOC, widths, as_text=False).join(_small(sketches, sketches.count()), "shingle")
+    tallied = hits.groupBy(*_DOC, *_ITEM, "at_least", "shingle").agg(F.lit(1)).groupBy(*_DOC, *_ITEM, "at_least").count()
+    candidates = written(tallied.where("count >= at_least").select(*_DOC, *_ITEM), "candidates")
+    found = _small(candidates.select(*_DOC).distinct(), candidates.count())
+    held = docs.alias("d").join(found.alias("f"), _same("d", "f", _DOC), "left_semi")
+    wanted = written(_of_items(items.alias("d").join(candidates.select(*_ITEM).distinct().alias("f"), _same("d", "f", _ITEM), "left_semi"), words, widths, as_text=True), "item-shingles")
+    sizes = wanted.groupBy(*_ITEM).agg(F.count(F.lit(1)).alias("n_item"))
+    shared = _shingled(held, _DOC, widths, as_text=True).join(_small(wanted, wanted.count()), "shingle").distinct()
+    shared = shared.groupBy(*_DOC, *_ITEM).agg(F.count(F.lit(1)).alias("n_shared"))
+    out = shared.alias("d").join(sizes.alias("f"), _same("d", "f", _ITEM)).select("d.*", "f.n_item")
+    return out.where(F.col("n_shared") / F.col("n_item") >= threshold - 1e-9)
+
+
+def _same(one: str, other: str, names: Sequence[str]) -> Column:
+    key, text = names
+    return F.col(f"{one}.{key}").eqNullSafe(F.col(f"{other}.{key}")) & (F.col(f"{one}.{text}") == F.col(f"{other}.{text}"))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """``(doc_id, item_id, n_item, n_shared, containment)`` of every document and item it holds."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    sketches = written(item_sketches(items, words, threshold), "sketches")
-    hits = _shingled(docs, "doc_id", words, as_text=False).join(_small(sketches, sketches.count()), "shingle")
-    tallied = hits.groupBy("doc_id", "item_id", "at_least", "shingle").agg(F.lit(1)).groupBy("doc_id", "item_id", "at_least").count()
-    candidates = written(tallied.where("count >= at_least").select("doc_id", "item_id"), "candidates")
-    found = candidates.select("doc_id").distinct()
-    held = docs.join(_small(found, candidates.count()), "doc_id", "left_semi")
-    text = _shingled(held, "doc_id", words, as_text=True)
-    wanted = _shingled(items.join(candidates.select("item_id").distinct(), "item_id", "left_semi"), "item_id", words, as_text=True).distinct()
-    wanted = written(wanted, "item-shingles")
-    sizes = wanted.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"))
-    shared = text.join(_small(wanted, wanted.count()), "shingle").distinct().groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
-    out = shared.join(sizes, "item_id")
-    out = out.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
-    return out.where(F.col("containment") >= threshold - 1e-9)
+    found = _leaks(_texts(docs, _DOC), _texts(items, _ITEM), words, threshold)
+    return found.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` without the rows that hold an item; all columns stay."""
-    leaked = written(find_leaks(docs, items, words, threshold).select("doc_id").distinct(), "leaked")
-    leaked = leaked.select(F.col("doc_id").alias("_leaked"))
-    return docs.join(_small(leaked, leaked.count()), docs["doc_id"].cast("long") == F.col("_leaked"), "left_anti")
+    leaked = written(_leaks(_texts(docs, _DOC), _texts(items, _ITEM), words, threshold).select(*_DOC).distinct(), "leaked")
+    rows = as_rows(docs).withColumn("doc_key", text_key(F.col("text")))
+    kept = rows.alias("d").join(_small(leaked, leaked.count()).alias("f"), _same("d", "f", _DOC), "left_anti")
+    return kept.select(*(F.col("d.row").getField(c).alias(c) for c in docs.columns))

@@ -153,9 +153,10 @@ _LEAKS_SQL = r"""
         SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
     words AS (
         SELECT side, id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM texts),
+    widths AS (SELECT DISTINCT least(len(w), 5) AS n FROM words WHERE side = 'i' AND len(w) > 0),
     shingles AS (
-        SELECT DISTINCT side, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-                                              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+        SELECT DISTINCT side, id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS s
+        FROM words JOIN widths ON len(w) >= n AND (side = 'd' OR n = least(len(w), 5))),
     sizes AS (SELECT id AS item_id, count(*) AS n_item FROM shingles WHERE side = 'i' GROUP BY id),
     shared AS (
         SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM shingles d JOIN shingles i USING (s)

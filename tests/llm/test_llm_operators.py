@@ -178,12 +178,17 @@ def test_label_model_discounts_copies():
 
 
 def leaks_by_definition(docs, items, threshold=0.8):
-    def shingles(text):
-        words = [w for w in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if w]
-        return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-    own, wanted = {i: shingles(t) for i, t in docs}, {i: shingles(t) for i, t in items}
-    return {(d, i, len(w), len(w & s)) for d, s in own.items() for i, w in wanted.items() if w and len(w & s) >= threshold * len(w) - 1e-9}
+    words_of = lambda text: [w for w in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if w]
+    runs = lambda words, n: {" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
+    found = set()
+    for i, item in items:
+        own = words_of(item)
+        wanted = runs(own, min(5, len(own))) if own else set()
+        for d, text in docs:
+            shared = wanted & runs(words_of(text), min(5, len(own)))
+            if wanted and len(shared) >= threshold * len(wanted) - 1e-9:
+                found.add((d, i, len(wanted), len(shared)))
+    return found
 
 
 def test_leaks_are_exact(spark):
@@ -196,7 +201,7 @@ def test_leaks_are_exact(spark):
             item[(7 * k) % len(item)] = "edited"
         words[50:50] = item if d % 3 else [w.upper() + "," for w in item]
         docs.append((d, " ".join(words)))
-    docs += [(70, None), (71, ""), (72, "two WORDS")]
+    docs += [(70, None), (71, ""), (72, "two WORDS"), (73, prose(3, 20) + " two words " + prose(4, 20)), (74, "words two")]
     table = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(5))
     found = {tuple(r)[:4] for r in find_leaks(frame(spark, docs), table).collect()}
     assert found == leaks_by_definition(docs, items) and len(found) > 20
@@ -205,10 +210,14 @@ def test_leaks_are_exact(spark):
 
 
 def test_leak_edges(spark, odd):
-    items = spark.createDataFrame([(1, prose(1, 80)), (1, None)], "item_id long, text string")
-    assert {(r["doc_id"], r["containment"]) for r in find_leaks(odd, items).collect()} == {(4, 1.0), (5, 1.0)}
-    assert decontaminate(odd, items).columns == odd.columns and decontaminate(odd, items).count() == odd.count() - 3
+    items = spark.createDataFrame([(1, prose(1, 80)), (1, None), (None, prose(2, 60))], "item_id long, text string")
+    held = {(r["doc_id"], r["item_id"], r["containment"]) for r in find_leaks(odd, items).collect()}
+    assert held == {(4, 1, 1.0), (5, 1, 1.0), (None, None, 1.0)}
+    left = decontaminate(odd, items)
+    assert left.columns == odd.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 2, 3, 6]
     assert find_leaks(odd.limit(0), items).count() == 0 == find_leaks(odd, items.limit(0)).count()
+    mixed = frame(spark, [(7, prose(1, 80)), (7, prose(8, 30)), (None, prose(9, 30)), (None, prose(1, 80))])
+    assert sorted(r["text"] for r in decontaminate(mixed, items).collect()) == sorted([prose(8, 30), prose(9, 30)])
 
 
 # --- SpotSigs -----------------------------------------------------------------
