@@ -18,8 +18,9 @@ therefore files documents under some of their shingles, so that no pair can be m
 wide fingerprints as a sieve and links pairs by the Jaccard similarity of their shingles.
 
 Defined cases: a null or empty text, or one of white space, has fingerprint zero and links
-like any other. Repeated rows and ties share a component. Extra columns are ignored. An
-empty table gives no rows.
+like any other. Repeated rows and ties share a component; rows without a doc_id link like
+any other, and a component of them alone has none. Extra columns are ignored, or pass
+through ``one_of_each``, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.llm.common import written
+from symgraph.llm.common import as_rows, join_classes, text_key, written
 from symgraph.llm.components import connected_components
+from symgraph.llm.set_join import BROADCAST_ROWS, jaccard_links, similar_sets
 from symgraph.llm.xxh import majority_bits, remix, xxh64_slices
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -210,131 +212,139 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataF
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("an index of quadruples finds all pairs of at most 3 differing bits")
-    return _classes(docs, words, 1, QUADRUPLES, 8 - max_bits, max_bits)
-
-
-def _classes(docs: DataFrame, words: int, lanes: int, sets: Sequence[Sequence[int]], min_shared: int, max_bits: int) -> DataFrame:
-    found = written(fingerprints(docs, words, lanes), "fingerprints")
-    nodes = written(found.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct-fingerprints")
-    classes = connected_components(links(nodes, sets, min_shared, max_bits))
-    named = nodes.join(classes, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return found.join(named, "fp")
+    found = written(fingerprints(docs, words, 1).withColumn("id", F.col("fp")[0]), "fingerprints")
+    nodes = found.groupBy("id", "fp").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"))
+    nodes = written(nodes, "distinct-fingerprints")
+    classes = connected_components(links(nodes.select("id", "fp"), QUADRUPLES, 8 - max_bits, max_bits))
+    placed = nodes.join(classes, "id", "left").select("id", "doc", "copies", F.coalesce("component", "id").alias("component"))
+    placed = written(placed, "placed-fingerprints")
+    named = placed.join(placed.groupBy("component").agg(F.min("doc").alias("component_id")), "component")
+    return join_classes(found, written(named.select("id", "copies", "component_id"), "components"), ["id"]).select("doc_id", "fp", "component_id")
 
 
 def _frequent(docs: DataFrame, words: int, sample: int = 20_000, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that recur in a sample of ``docs``, sorted, and how often: only the order of filing follows from it."""
     share = min(1.0, sample / max(1, docs.count()))
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    listed = _shingled(some, words, 1, 1.0, None).select(F.explode("shingles").alias("shingle"))
+    listed = shingle_sets(some.select(F.lit(0).cast("long").alias("set_id"), "text"), words).select(F.explode("elements").alias("shingle"))
     rows = listed.groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(most).collect()
     rows.sort(key=lambda r: r["shingle"])
     return np.array([r["shingle"] for r in rows], np.int64), np.array([r["count"] for r in rows], np.int64)
 
 
-def _shingled(docs: DataFrame, words: int, lanes: int, threshold: float, frequent: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
-    """Every document's fingerprint and its set of shingles (64-bit hashes), and the shingles it is filed under.
+def _sets_of(texts: list[bytes], words: int, lanes: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct shingles (64-bit hashes) of each text, and the fingerprints."""
+    full, held, h = _shingle_hashes(texts, words, 42)
+    sets = [np.zeros(0, np.int64)] * len(texts)
+    starts = np.cumsum(held) - held
+    for row, start, size in zip(full.tolist(), starts.tolist(), held.tolist(), strict=True):
+        sets[row] = np.unique(h[start : start + size].view(np.int64))
+    return sets, _signed(len(texts), full, held, h, lanes).view(np.int64)
 
-    These are the first n - ceil(threshold * n) + 1 of its n shingles in an order common to all
-    documents, rare ones first: two sets of at least that Jaccard similarity share one of them.
-    ``set_id`` is a hash of the set.
-    """
-    names = ["doc_id", "set_id", "n", "fp", "filed", "shingles"]
-
-    def lists(parts: list[np.ndarray]) -> pa.ListArray:
-        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
-
-    def batch_of(ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
-        full, held, h = _shingle_hashes(texts, words, 42)
-        fp = _signed(len(texts), full, held, h, lanes).view(np.int64)
-        sets = [np.zeros(0, np.int64)] * len(texts)
-        filed = list(sets)
-        starts = np.cumsum(held) - held
-        for row, start, size in zip(full.tolist(), starts.tolist(), held.tolist(), strict=True):
-            own = sets[row] = np.unique(h[start : start + size].view(np.int64))
-            order = np.arange(len(own))
-            if frequent is not None and len(frequent[0]):
-                at = np.minimum(np.searchsorted(frequent[0], own), len(frequent[0]) - 1)
-                order = np.argsort(np.where(frequent[0][at] == own, frequent[1][at], 0), kind="stable")
-            filed[row] = own[order[: len(own) - math.ceil(threshold * len(own) - 1e-9) + 1]]
-        named = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-        sizes = np.fromiter(map(len, sets), np.int32, len(sets))
-        return pa.RecordBatch.from_arrays([ids, pa.array(named), pa.array(sizes), lists(list(fp)), lists(filed), lists(sets)], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, lo, size = batch.column(1), 0, 0
-            held: list[bytes] = []
-            for i in range(len(texts)):
-                held.append(texts[i].as_py() or b"")
-                size += len(held[-1])
-                if size >= _CHUNK or i == len(texts) - 1:
-                    yield batch_of(batch.column(0).slice(lo, len(held)), held)
-                    lo, size, held = i + 1, 0, []
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
-    return source.mapInArrow(run, "doc_id long, set_id long, n int, fp array<long>, filed array<long>, shingles array<long>")
 
+def _in_chunks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with some megabytes of text each, and their texts."""
+    for batch in batches:
+        lo = size = 0
+        held: list[bytes] = []
+        for i in range(batch.num_rows):
+            held.append(batch.column(text)[i].as_py() or b"")
+            size += len(held[-1])
+            if size >= _CHUNK or i == batch.num_rows - 1:
+                yield batch.slice(lo, len(held)), held
+                lo, size, held = i + 1, 0, []
 
-def _alike(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, max_bits: int) -> DataFrame:
-    """Those of ``pairs(src, dst)`` whose sets have a Jaccard similarity of ``threshold``; the fingerprints are a sieve."""
-    side = lambda df, end, column: df.select(F.col("set_id").alias(end), F.col(column).alias(f"_{end}"))
-    signed = pairs.join(side(nodes, "src", "fp"), "src").join(side(nodes, "dst", "fp"), "dst")
-    bits = F.aggregate(F.zip_with("_src", "_dst", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
-    close = written(signed.where(bits <= max_bits).select("src", "dst"), "close-pairs")
-    ends = close.select(F.explode(F.array("src", "dst")).alias("set_id")).distinct()
-    held = written(sets.join(ends, "set_id", "left_semi").dropDuplicates(["set_id"]), "close-sets")
-    both = close.join(side(held, "src", "shingles"), "src").join(side(held, "dst", "shingles"), "dst")
-    shared = F.size(F.array_intersect("_src", "_dst"))
-    return both.where(shared >= F.lit(threshold) * (F.size("_src") + F.size("_dst") - shared) - 1e-9).select("src", "dst")
 
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """``(set_id, elements)`` of ``docs(set_id, text)``: the distinct shingles of every text."""
 
-def similar_sets(nodes: DataFrame, sets: DataFrame, threshold: float, max_bits: int) -> DataFrame:
-    """Components ``(id, component)`` of all pairs of distinct sets that are alike (none left out).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _in_chunks(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(_sets_of(texts, words, 0)[0])], names=["set_id", "elements"])
 
-    ``nodes(set_id, n, fp, filed)``, ``sets(set_id, shingles)``. Alike sets meet in a posting
-    list. A list's members are first compared with two of them, one of the smallest id and one
-    by chance, which joins dense groups by few comparisons; pairs that this leaves in
-    different components are then compared one by one.
+    return docs.select("set_id", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "set_id long, elements array<long>")
+
+
+def _filed(rows: DataFrame, words: int, lanes: int, threshold: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Of ``rows(doc_id, key, text)``: a hash of the set of shingles, its size, the fingerprint, and the shingles it is filed under.
+
+    These come first in an order common to all documents, rare ones first.
     """
-    index = written(nodes.select("set_id", "n", F.explode("filed").alias("key")), "postings")
-    chance = F.xxhash64("set_id", "key")
-    member = F.struct("set_id", "n")
-    lists = index.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(member).alias("first"), F.min(F.struct(chance.alias("chance"), "set_id", "n")).alias("other"))
-    lists = written(lists.where("members > 1").select("key", "first", F.struct("other.set_id", "other.n").alias("other")), "posting-lists")
-    members = written(index.join(lists, "key"), "members")
-    near = lambda a, b: F.least(a, b) >= F.lit(threshold) * F.greatest(a, b) - 1e-9
-    stars = members.select("set_id", "n", F.explode(F.array("first", "other")).alias("with"))
-    stars = stars.where((F.col("set_id") != F.col("with.set_id")) & near(F.col("n"), F.col("with.n")))
-    stars = stars.select(F.least("set_id", "with.set_id").alias("src"), F.greatest("set_id", "with.set_id").alias("dst")).distinct()
-    found = written(_alike(stars, nodes, sets, threshold, max_bits), "star-links")
-    joined = connected_components(found)
-    placed = members.select("key", "set_id", "n").join(joined.withColumnRenamed("id", "set_id"), "set_id", "left")
-    placed = written(placed.select("key", "set_id", "n", F.coalesce("component", "set_id").alias("component")), "placed-members")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a <> z").select("key")
-    open_ = written(placed.join(mixed, "key"), "open-members")
-    one, two = (open_.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("set_id", "n", "component"))) for x in "ab")
-    apart = (F.col("set_id_a") < F.col("set_id_b")) & (F.col("component_a") != F.col("component_b")) & near(F.col("n_a"), F.col("n_b"))
-    rest = one.join(two, "key").where(apart).select(F.col("set_id_a").alias("src"), F.col("set_id_b").alias("dst")).distinct()
-    return connected_components(written(found.unionByName(_alike(rest, nodes, sets, threshold, max_bits)), "links"))
+    names = ["doc_id", "key", "set_id", "n", "fp", "filed"]
+
+    def filed(own: np.ndarray) -> np.ndarray:
+        order = np.arange(len(own))
+        if len(frequent[0]):
+            at = np.minimum(np.searchsorted(frequent[0], own), len(frequent[0]) - 1)
+            order = np.argsort(np.where(frequent[0][at] == own, frequent[1][at], 0), kind="stable")
+        return own[order[: len(own) - math.ceil(threshold * len(own) - 1e-9) + 1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _in_chunks(batches, 2):
+            sets, fp = _sets_of(texts, words, lanes)
+            named = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            sizes = np.fromiter(map(len, sets), np.int32, len(sets))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(named), pa.array(sizes), _lists(list(fp)), _lists([filed(x) for x in sets])], names=names)
+
+    source = rows.select("doc_id", "key", F.col("text").cast("binary").alias("text"))
+    return source.mapInArrow(run, "doc_id long, key long, set_id long, n int, fp array<long>, filed array<long>")
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _same_row(one: str, other: str) -> Column:
+    """Rows that agree in id and text, nulls included."""
+    return F.col(f"{one}.doc_id").eqNullSafe(F.col(f"{other}.doc_id")) & F.col(f"{one}.key").eqNullSafe(F.col(f"{other}.key"))
 
 
 def wide_near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 8, threshold: float = 0.8, max_differing: float = 0.3) -> DataFrame:
-    """``(doc_id, set_id, component)``: documents linked by a Jaccard similarity of ``threshold`` of their shingles.
+    """``(doc_id, key, component)``: rows linked by a Jaccard similarity of ``threshold`` of their shingles.
 
     Every such pair is found, and no other links. Fingerprints of ``64 * lanes`` bits spare
     most comparisons: at s = 0.8 a share acos(2s / (1 + s)) / pi = 0.15 of the bits differs
     (at most 0.19, for sets of 4 and 5), and ``max_differing`` is over six standard
-    deviations above that.
+    deviations above that. Only the texts of pairs that pass are read again, to be compared.
     """
-    found = written(_shingled(docs, words, lanes, threshold, _frequent(docs, words)), "shingles")
-    nodes = written(found.select("set_id", "n", "fp", "filed").dropDuplicates(["set_id"]), "distinct-sets")
-    classes = similar_sets(nodes, found.select("set_id", "shingles"), threshold, int(64 * lanes * max_differing))
-    return found.select("doc_id", "set_id").join(classes.withColumnRenamed("id", "set_id"), "set_id", "left").select("doc_id", "set_id", F.coalesce("component", "set_id").alias("component"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
+    found = written(_filed(rows, words, lanes, threshold, _frequent(rows, words)), "filed-documents")
+    nodes = written(found.dropDuplicates(["set_id"]), "distinct-sets")
+    most = int(64 * lanes * max_differing)
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        for end in ("src", "dst"):
+            pairs = pairs.join(nodes.select(F.col("set_id").alias(end), F.col("fp").alias(f"fp_{end}")), end)
+        bits = F.aggregate(F.zip_with("fp_src", "fp_dst", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
+        close = written(pairs.where(bits <= most).select("src", "dst"), "close-pairs")
+        ends = close.select(F.explode(F.array("src", "dst")).alias("set_id")).distinct()
+        ends = written(nodes.join(ends, "set_id").select("set_id", "doc_id", "key"), "close-sets")
+        texts = rows.alias("r").join(_small(ends, ends.count()).alias("e"), _same_row("r", "e")).select("e.set_id", "r.text")
+        return jaccard_links(close, written(shingle_sets(texts, words), "shingles").dropDuplicates(["set_id"]), threshold)
+
+    classes = similar_sets(nodes, alike, threshold).withColumnRenamed("id", "set_id")
+    return found.select("doc_id", "key", "set_id").join(classes, "set_id", "left").select("doc_id", "key", F.coalesce("component", "set_id").alias("component"))
 
 
 def one_of_each(docs: DataFrame, **likeness: float) -> DataFrame:
-    """``docs`` less all but the first document (by doc_id) of each class of ``wide_near_duplicates``."""
-    classes = wide_near_duplicates(docs, **likeness)
-    kept = written(classes.groupBy("component").agg(F.min("doc_id").alias("_kept")).select("_kept").distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` less all but the first row of each class of ``wide_near_duplicates``.
+
+    The first is the one of the smallest doc_id (rows without one come last), then of the
+    smallest hash of its text. Of rows that agree in both, one stays.
+    """
+    classes = written(wide_near_duplicates(docs, **likeness), "near-classes")
+    rank = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")
+    first = written(classes.groupBy("component").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "near-groups")
+    gone = join_classes(classes, first, ["component"]).where(~rank.eqNullSafe(F.col("first"))).select("doc_id", "key").distinct()
+    gone = written(gone, "near-copies")
+    rows = as_rows(docs).withColumn("key", text_key(F.col("text"))).alias("r")
+    kept = rows.join(_small(gone, gone.count()).alias("g"), _same_row("r", "g"), "left_anti")
+    if not classes.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "key"])
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

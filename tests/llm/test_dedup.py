@@ -152,8 +152,18 @@ def test_one_of_each(spark, odd):
     near = " ".join(w if i != 150 else "changed" for i, w in enumerate(first.split()))
     kept = one_of_each(frame(spark, [first, prose(10, 300), near, first, "", ""])).collect()
     assert sorted(r["doc_id"] for r in kept) == [0, 1, 4]
-    assert one_of_each(odd).columns == odd.columns and one_of_each(odd.limit(0)).count() == 0
+    left = one_of_each(odd)
+    assert left.columns == odd.columns and one_of_each(odd.limit(0)).count() == 0
+    # The rows without words are alike; 4, 4 and 5 are copies; the one without an id is alone.
+    assert sorted((r["doc_id"] or 0, r["key"]) for r in left.collect() if r["doc_id"] != 4) == [(0, 6), (1, 0), (6, 7)] and left.count() == 4
+    mixed = frame(spark, [(7, first), (7, prose(11, 90)), (None, near), (None, prose(12, 90)), (None, prose(12, 90))])
+    assert sorted(r["text"] for r in one_of_each(mixed).collect()) == sorted([first, prose(11, 90), prose(12, 90)])
+
+
+def test_simhash_edges(spark, odd):
     assert near_duplicates(odd).count() == odd.count() and near_duplicates(odd.limit(0)).count() == 0
+    same = frame(spark, [(None, prose(2, 60)), (3, prose(2, 60)), (None, "x y z")])
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in near_duplicates(same).collect()) == [(0, 0), (0, 3), (3, 3)]
 
 
 def test_components_of_long_paths_and_stars(spark):
