@@ -166,12 +166,49 @@ def test_toxicity_without_labels(spark, abuse):
 
 def test_label_model_discounts_copies():
     chosen = np.random.RandomState(0)
-    truth = chosen.rand(2000) < 0.3
-    flip = lambda p: np.where(chosen.rand(2000) < p, ~truth, truth) * 2 - 1
+    truth = chosen.rand(4000) < 0.3
+    flip = lambda p: np.where(chosen.rand(4000) < p, ~truth, truth) * 2 - 1
     noisy = flip(0.35)
     votes = np.stack([flip(0.1), flip(0.12), flip(0.15), noisy, noisy, noisy, noisy], axis=1)
-    posterior = toxicity.label_model(votes, np.where(chosen.rand(2000) < 0.2, ~truth, truth).astype(int))
-    assert ((posterior >= 0.5) == truth).mean() > 0.93
+    model, posterior = toxicity.fit_label_model(votes)
+    assert ((posterior >= 0.5) == truth).mean() > 0.93 and abs(model.share - 0.3) < 0.06
+    # Every copy but one depends on another copy, which then explains it whatever the class.
+    assert sum(o >= 3 for o in model.other[3:]) == 3
+    for i in (4, 5, 6):
+        table = model.tables[i] if model.other[i] >= 3 else model.tables[3]
+        assert (table[:, [0, 2], [0, 2]] > 0.99).all()
+    accuracy = [np.where(votes[:, i] > 0, posterior, 1 - posterior).mean() for i in range(3)]
+    assert np.allclose(accuracy, [0.9, 0.88, 0.85], atol=0.05)
+    labelled = toxicity.fit_label_model(votes, np.where(chosen.rand(4000) < 0.05, ~truth, truth).astype(int))[1]
+    assert ((labelled >= 0.5) == truth).mean() > 0.95
+
+
+def test_label_model_posteriors_by_brute_force():
+    chosen = np.random.RandomState(1)
+    votes = chosen.randint(-1, 2, (60, 4))
+    votes[:, 2] = np.where(chosen.rand(60) < 0.8, votes[:, 1], votes[:, 2])
+    model, _ = toxicity.fit_label_model(votes)
+
+    def chance(row, y):  # the joint probability of a class and its votes, factor by factor
+        p = model.share if y else 1 - model.share
+        for i, o in enumerate(model.other):
+            p *= model.tables[i][y, row[o] + 1 if o >= 0 else 0, row[i] + 1]
+        return p
+
+    expected = [chance(r, 1) / (chance(r, 0) + chance(r, 1)) for r in votes]
+    assert np.allclose(1 / (1 + np.exp(-model.log_odds(votes + 1))), expected)
+    every = np.array(np.meshgrid(*[[-1, 0, 1]] * 4)).reshape(4, -1).T
+    assert sum(chance(r, y) for r in every for y in (0, 1)) == pytest.approx(1)
+
+
+def test_voters_of_other_origin():
+    plain = toxicity.Lexicon({"zornig": (0, 0.98), "4|blaf": (1, 0.85)}, frozenset(["gemecker"]))
+    cast = lambda text: dict(zip(toxicity.VOTERS, toxicity.votes_of(toxicity.signs_of(text, plain)), strict=True))
+    assert set(cast("").values()) == {0, -1} and cast("")["nothing"] == -1
+    rude = cast("you stupid f**k sooooo zornig zornig zornig Blaffen gemecker")
+    assert {v for v in rude if rude[v] > 0} >= {"seeds: insult", "company>=1", "words, 0.9>=1", "words, 0.97>=3", "beginnings, 0.8>=1", "addressed", "masked", "stretched"}
+    assert rude["beginnings, 0.9>=1"] == -1 and rude["shouted"] == 0
+    assert cast("WHAT IS ALL THIS!!! NOISE!!! NOW!!!")["shouted"] == 1 == cast("a b c d e!!!")["marks"]
 
 
 # --- decontamination ----------------------------------------------------------
