@@ -2,69 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_QUOTE = "[\"'`]"
-_NOT_QUOTE = "[^\"'`]+"
+_REFS = "array<struct<alias:string,path:string>>"
 
-# Import statements by language (patterns whose matches must equal those of other tools).
-GO = r'(?m)^\s*(?:(\w+)\s+)?"([^"]+)"\s*$'
-JS_NAMESPACE = rf"import\s+\*\s+as\s+(\w+)\s+from\s+{_QUOTE}({_NOT_QUOTE}){_QUOTE}"
-JS_DEFAULT = rf"import\s+(\w+)\s*(?:,\s*\{{[^}}]*\}})?\s+from\s+{_QUOTE}({_NOT_QUOTE}){_QUOTE}"
-JS_NAMED = rf"import\s+\{{([^}}]*)\}}\s+from\s+{_QUOTE}({_NOT_QUOTE}){_QUOTE}"
-PY_IMPORT = r"(?m)^\s*import\s+([\w.]+)(?:\s+as\s+(\w+))?"
-PY_FROM = r"(?m)^\s*from\s+([\w.]+)\s+import\s+(.+)$"
 
+@dataclass(frozen=True)
+class Form:
+    """A form of import statement: its languages, a pattern of two groups, and the refs of one match."""
 
-def _pairs(source: Column, pattern: str) -> Column:
-    """The two groups of every match, as ``array<struct<0, 1>>``."""
-    groups = [F.regexp_extract_all(source, F.lit(pattern), F.lit(g)) for g in (1, 2)]
-    return F.arrays_zip(groups[0].alias("0"), groups[1].alias("1"))
+    languages: tuple[str, ...]
+    pattern: str
+    refs: Callable[[Column, Column], Column]
 
 
 def _ref(alias: Column, path: Column) -> Column:
     return F.struct(alias.alias("alias"), path.alias("path"))
 
 
-def _or_last(alias: Column, path: Column, separator: str) -> Column:
-    return F.when(alias == "", F.substring_index(path, separator, -1)).otherwise(alias)
+def _aliased(separator: str) -> Callable[[Column, Column], Column]:
+    """An alias, or the path's last part where there is none."""
+    return lambda alias, path: F.array(_ref(F.when(alias == "", F.substring_index(path, separator, -1)).otherwise(alias), path))
+
+
+def _named(join: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
+    """A list of ``name`` or ``name as alias`` taken from a path; blanks and ``*`` say nothing."""
+
+    def refs(path: Column, names: Column) -> Column:
+        items = F.transform(F.split(names, ","), lambda x: F.split(F.btrim(x, F.lit("() \t\r\n")), " as ", 2))
+        told = F.filter(items, lambda x: ~F.trim(x[0]).isin("", "*"))
+        return F.transform(told, lambda x: _ref(F.trim(F.element_at(x, -1)), join(path, F.trim(x[0]))))
+
+    return refs
 
 
-def _listed(names: Column, make) -> Column:
-    """Refs of a comma-separated list of ``name`` or ``name as alias``."""
-    parts = F.transform(F.split(names, ","), lambda n: F.btrim(n, F.lit("() \t\r\n")))
-    return F.transform(F.filter(parts, lambda n: ~n.isin("", "*")), make)
+_one = lambda alias, path: F.array(_ref(alias, path))
+_swapped = lambda make: lambda a, b: make(b, a)
 
+# The patterns are fixed values: what they match must be what other tools of this kind match.
+FORMS = (
+    Form(("go",), r'(?m)^\s*(?:(\w+)\s+)?"([^"]+)"\s*$', _aliased("/")),
+    Form(("typescript", "javascript"), r"""import\s+\*\s+as\s+(\w+)\s+from\s+["'`]([^"'`]+)["'`]""", _one),
+    Form(("typescript", "javascript"), r"""import\s+(\w+)\s*(?:,\s*\{[^}]*\})?\s+from\s+["'`]([^"'`]+)["'`]""", _one),
+    Form(("typescript", "javascript"), r"""import\s+\{([^}]*)\}\s+from\s+["'`]([^"'`]+)["'`]""", _swapped(_named(lambda path, _: path))),
+    Form(("python",), r"(?m)^\s*import\s+([\w.]+)(?:\s+as\s+(\w+))?", _swapped(_aliased("."))),
+    Form(("python",), r"(?m)^\s*from\s+([\w.]+)\s+import\s+(.+)$", _named(lambda path, name: F.concat_ws(".", path, name))),
+)
 
-def _renamed(name: Column) -> tuple[Column, Column]:
-    """What a name is imported as, and the name."""
-    at = F.instr(name, " as ")
-    return F.when(at > 0, F.trim(F.substr(name, at + 4))).otherwise(name), F.when(at > 0, F.trim(F.substr(name, F.lit(1), at - 1))).otherwise(name)
+
+def _matches(form: Form, source: Column) -> Column:
+    groups = [F.regexp_extract_all(source, F.lit(form.pattern), F.lit(g)) for g in (1, 2)]
+    return F.flatten(F.zip_with(*groups, form.refs))
 
 
 def extract_imports(language: Column, source: Column) -> Column:
-    """``array<struct<alias, path>>`` in order of appearance within each form of statement."""
-    go = F.filter(
-        F.transform(_pairs(source, GO), lambda m: _ref(_or_last(m["0"], m["1"], "/"), m["1"])),
-        lambda r: ~r["alias"].isin("_", "."),
-    )
-    direct = [F.transform(_pairs(source, p), lambda m: _ref(m["0"], m["1"])) for p in (JS_NAMESPACE, JS_DEFAULT)]
-    named = F.flatten(F.transform(_pairs(source, JS_NAMED), lambda m: _listed(m["0"], lambda n: _ref(_renamed(n)[0], m["1"]))))
-    plain = F.transform(_pairs(source, PY_IMPORT), lambda m: _ref(_or_last(m["1"], m["0"], "."), m["0"]))
-    lists = F.flatten(
-        F.transform(
-            _pairs(source, PY_FROM),
-            lambda m: _listed(m["1"], lambda n: _ref(_renamed(n)[0], F.concat_ws(".", m["0"], _renamed(n)[1]))),
-        )
-    )
-    nothing = F.array().cast("array<struct<alias:string,path:string>>")
-    return (
-        F.when(language == "go", go)
-        .when(language.isin("typescript", "javascript"), F.concat(*direct, named))
-        .when(language == "python", F.concat(plain, lists))
-        .otherwise(nothing)
-    )
+    """``array<struct<alias, path>>`` in order of appearance within each form of statement.
+
+    Imports for their side effects only (``_`` and ``.`` in place of an alias) are left out.
+    """
+    out = F.array().cast(_REFS)
+    for spoken in dict.fromkeys(f.languages for f in FORMS):
+        parts = [_matches(f, source) for f in FORMS if f.languages == spoken]
+        out = F.when(language.isin(*spoken), F.concat(*parts).cast(_REFS)).otherwise(out)
+    return F.filter(out, lambda r: ~r["alias"].isin("_", "."))
 
 
 def local_import_candidates(language: Column, folder: Column, path: Column, module: Column) -> Column:

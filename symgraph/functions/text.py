@@ -8,7 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Names before a parenthesis that are not calls (fixed values).
-CALL_KEYWORDS = "if for switch select func make append len cap new delete close panic recover print println".split()
+CALL_KEYWORDS = [
+    "if", "for", "switch", "select", "func", "make", "append", "len", "cap",
+    "new", "delete", "close", "panic", "recover", "print", "println",
+]
 
 #: Characters that outer trimming removes (Unicode white space).
 _WHITE = r"[\t-\r \u0085   -     　]"
@@ -53,8 +56,7 @@ def embed_header(
     text = lambda c: F.coalesce(c, F.lit(""))
     listed = lambda c: F.coalesce(F.array_join(c, ", "), F.lit(""))
     return F.format_string(
-        "Symbol: %s\nType: %s\nLanguage: %s\n\nPurpose:\n%s\n\nBusiness context:\n%s\n\n"
-        "Responsibilities:\n%s\n\nDependencies:\n%s\n\nConcepts:\n%s\n\nCode:\n",
+        "%s [%s] in %s\nDoes: %s\nServes: %s\nDuties: %s\nUses: %s\nTopics: %s\n\n",
         text(symbol), text(kind), text(language), text(summary), text(context), listed(duties), listed(calls), listed(tags),
     )
 
@@ -137,43 +139,44 @@ def branch_token(branch: Column) -> Column:
 
 def definition_note(summary: Column, file: Column, line: Column) -> Column:
     """A symbol's summary and where it is defined."""
-    place = F.format_string("defined at %s:%d", file, line)
-    return F.when(F.coalesce(summary, F.lit("")) == "", place).otherwise(F.concat(summary, F.lit(" ("), place, F.lit(")")))
+    place = F.format_string("%s:%d", file, line)
+    return F.when(F.coalesce(summary, F.lit("")) == "", place).otherwise(F.concat_ws(" @ ", summary, place))
 
 
 def edges_block(outgoing: Column, incoming: Column) -> Column:
-    """Capped edge lists (arrays of struct(kind, other)) as indented text."""
-    out = F.transform(outgoing, lambda e: F.concat(F.lit("  -"), e["kind"], F.lit("-> "), e["other"]))
-    into = F.transform(incoming, lambda e: F.concat(F.lit("  "), e["other"], F.lit(" -"), e["kind"], F.lit("->")))
-    some = lambda title, lines: F.when(F.size(lines) > 0, F.concat(F.lit(title + "\n"), F.array_join(lines, "\n")))
-    return F.concat_ws("\n", some("outgoing:", out), some("incoming:", into))
+    """Capped edge lists (arrays of struct(kind, other)), a line for each edge, outgoing ones first."""
+    drawn = lambda arrow: lambda e: F.concat_ws(" ", e["kind"], F.lit(arrow), e["other"])
+    return F.array_join(F.concat(F.transform(outgoing, drawn("\u2192")), F.transform(incoming, drawn("\u2190"))), "\n")
 
 
 def result_text(number: Column, score: Column, symbol: Column, kind: Column, file: Column, branch: Column, chunk: Column, chunks: Column, purpose: Column, code: Column, lines: int = 20) -> Column:
     """A search hit for people: names, the fragment where there are several, and its first lines."""
     split = F.split(code, "\n", lines + 2)
-    body = F.array_join(F.slice(split, 1, lines), "\n")
-    more = F.when(F.size(split) > lines, "... (truncated)\n").otherwise("")
-    return F.concat(
-        F.format_string("Result %d (score: %.2f)\nSymbol:  %s\nType:    %s\nFile:    %s\n", number, score, symbol, kind, file),
-        F.when(F.coalesce(branch, F.lit("")) != "", F.format_string("Branch:  %s\n", branch)).otherwise(""),
-        F.when(chunks > 1, F.format_string("Chunk:   %d/%d (best-matching fragment)\n", chunk + 1, chunks)).otherwise(""),
-        F.when(F.coalesce(purpose, F.lit("")) != "", F.format_string("\nPurpose:\n%s\n", purpose)).otherwise(""),
-        F.when(F.coalesce(code, F.lit("")) != "", F.concat(F.format_string("\nCode:\n%s\n", body), more)).otherwise(""),
+    body = F.array_join(F.transform(F.slice(split, 1, lines), lambda x: F.concat(F.lit("    "), x)), "\n")
+    told = lambda c, *shape: F.when(F.coalesce(c, F.lit("")) != "", F.format_string(*shape))
+    return F.concat_ws(
+        "\n",
+        F.format_string("%d. %s (%s) in %s, score %.2f", number, symbol, kind, file, score),
+        told(branch, "   on branch %s", branch),
+        F.when(chunks > 1, F.format_string("   best of its parts: %d of %d", chunk + 1, chunks)),
+        told(purpose, "   %s", purpose),
+        F.when(F.coalesce(code, F.lit("")) != "", body),
+        F.when(F.size(split) > lines, "    (more lines)"),
     )
 
 
 def parse_reply(reply: Column) -> Column:
     """An enrichment reply's four JSON fields; if it is not JSON, all of it is the summary."""
-    kind = "summary string, tags array<string>, responsibilities array<string>, business_context string"
+    kind = "summary string, tags array<string>, responsibilities array<string>, business_context string, businessContext string"
     parsed = F.from_json(reply, kind)
-    broken = parsed.isNull() | (parsed["summary"].isNull() & parsed["tags"].isNull() & parsed["responsibilities"].isNull() & parsed["business_context"].isNull())
+    context = F.coalesce(parsed["business_context"], parsed["businessContext"])
+    broken = parsed.isNull() | (parsed["summary"].isNull() & parsed["tags"].isNull() & parsed["responsibilities"].isNull() & context.isNull())
     nothing = F.array().cast("array<string>")
     return F.struct(
         F.when(broken, F.trim(reply)).otherwise(F.coalesce(parsed["summary"], F.lit(""))).alias("summary"),
         F.when(broken, nothing).otherwise(F.coalesce(parsed["tags"], nothing)).alias("tags"),
         F.when(broken, nothing).otherwise(F.coalesce(parsed["responsibilities"], nothing)).alias("responsibilities"),
-        F.when(broken, F.lit("")).otherwise(F.coalesce(parsed["business_context"], F.lit(""))).alias("business_context"),
+        F.when(broken, F.lit("")).otherwise(F.coalesce(context, F.lit(""))).alias("business_context"),
     )
 
 
@@ -181,5 +184,22 @@ def sync_line(files: Column, chunks: Column, removed: Column) -> Column:
     return F.format_string("%d files changed, %d chunks embedded, %d removed", files, chunks, removed)
 
 
-def any_of(column: Column, values: Sequence[str]) -> Column:
-    return column.isin(list(values)) if values else F.lit(False)
+def summary_prompt(symbol: Column, kind: Column, language: Column, code: Column, overview: Column) -> Column:
+    """What a model is asked about a symbol; ``overview`` tells it what the project is for."""
+    about = F.when(F.trim(F.coalesce(overview, F.lit(""))) != "", F.format_string("The project, as background only:\n%s\n\n", overview)).otherwise("")
+    asked = (
+        "Document the code below. Reply with one JSON object and nothing else. Its fields: "
+        '"summary" (what the code takes, does and gives, in at most 200 characters), "tags" (3 to 6 lower-case keywords), '
+        '"business_context" (a sentence on what it is for), "responsibilities" (1 to 4 short phrases).\n\n'
+    )
+    return F.concat(F.lit(asked), about, F.format_string("%s %s in %s:\n%s", kind, symbol, language, code))
+
+
+def readme_prompt(project: Column, languages: Column, source: Column) -> Column:
+    """What a model is asked for a project's README."""
+    asked = (
+        "Write a README in Markdown for the project %s, for readers who do not know code: what it is for, which problems it "
+        "solves, what one can do with it. Name the main technical choices at most. No code, no names of files or functions, "
+        "no introduction. Languages: %s. Its source, as evidence only:\n%s"
+    )
+    return F.format_string(asked, project, F.array_join(languages, ", "), source)

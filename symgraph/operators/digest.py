@@ -13,6 +13,9 @@ from symgraph.schemas import SYMBOL_KINDS
 SUMMARY_CHARS, STRUCTURE_CHARS = 4_000, 32_000
 
 
+# The counts "(n symbols)" and "(n callers)" are fixed formats.
+
+
 def ordered_lines(df: DataFrame, line: Column, *order: str) -> DataFrame:
     """One row with the lines joined in order; empty without rows."""
     keyed = df.select(F.struct(*order, line.alias("_line")).alias("_x"))
@@ -39,7 +42,7 @@ def package_lines(nodes: DataFrame) -> DataFrame:
     return out.select("package", n.alias("symbols"), about.alias("about"), line.alias("line"))
 
 
-def summary(nodes: DataFrame, edges: DataFrame, title: str = "# Codebase graph summary") -> DataFrame:
+def summary(nodes: DataFrame, edges: DataFrame, title: str = "# The code at a glance") -> DataFrame:
     """One row: packages, entry points and the most called symbols, cut to 4000 code points."""
     packages = ordered_lines(package_lines(nodes), F.col("line"), "package").select(F.col("text").alias("packages"))
     entry = nodes.where((F.col("kind") == "func") & (F.lower("name") == "main"))
@@ -48,8 +51,8 @@ def summary(nodes: DataFrame, edges: DataFrame, title: str = "# Codebase graph s
     called = ordered_lines(top, F.format_string("%d. %s (%d callers) — %s:%d", "n", "name", "callers", "file", "line"), "n").select(F.col("text").alias("called"))
     parts = packages.crossJoin(entries).crossJoin(called)  # single rows
     section = lambda head, c: F.when(F.col(c) != "", F.concat(F.lit(f"\n{head}\n"), F.col(c), F.lit("\n"))).otherwise("")
-    none = F.when(F.col("packages") == "", "(none indexed yet)\n").otherwise(F.concat("packages", F.lit("\n")))
-    text = F.concat(F.lit(f"{title}\n\n## Packages\n"), none, section("## Entry points", "entries"), section("## Top called symbols (fan-in)", "called"))
+    none = F.when(F.col("packages") == "", "nothing yet\n").otherwise(F.concat("packages", F.lit("\n")))
+    text = F.concat(F.lit(f"{title}\n\n## Folders\n"), none, section("## Starts at", "entries"), section("## Called most", "called"))
     return parts.select(cap_chars(text, SUMMARY_CHARS).alias("digest"))
 
 
@@ -63,10 +66,10 @@ def structure_lines(nodes: DataFrame) -> DataFrame:
     return heads.unionByName(files.select("package", "file", named.alias("line")))
 
 
-def structure(nodes: DataFrame, title: str = "# Project structure") -> DataFrame:
+def structure(nodes: DataFrame, title: str = "# Files by folder") -> DataFrame:
     """One row: packages and their files with symbol counts, cut to 32000 code points."""
     lines = ordered_lines(structure_lines(nodes), F.col("line"), "package", "file")
-    body = F.when(F.col("text") == "", "(none indexed yet)\n").otherwise(F.concat("text", F.lit("\n")))
+    body = F.when(F.col("text") == "", "nothing yet\n").otherwise(F.concat("text", F.lit("\n")))
     return lines.select(cap_chars(F.concat(F.lit(f"{title}\n\n"), body), STRUCTURE_CHARS).alias("digest"))
 
 
@@ -87,11 +90,10 @@ def within_budget(sections: DataFrame, group: list[str], order: list[str], secti
 def result_section(number: Column, score: Column, symbol: Column, kind: Column, file: Column, layer: Column, purpose: Column, code: Column) -> Column:
     optional = lambda c, shape: F.when(F.coalesce(c, F.lit("")) != "", F.format_string(shape, c)).otherwise("")
     return F.concat(
-        F.format_string("--- Result %d (score: %.2f) ---\nSymbol: %s\nType:   %s\nFile:   %s\n", number, score, symbol, kind, file),
-        optional(layer, "Layer:  %s\n"),
-        optional(purpose, "\nPurpose:\n%s\n"),
-        optional(code, "\nCode:\n%s\n"),
-        F.lit("\n"),
+        F.format_string("## %d. %s (%s) in %s, score %.2f\n", number, symbol, kind, file, score),
+        optional(layer, "part of: %s\n"),
+        optional(purpose, "%s\n"),
+        optional(code, "```\n%s\n```\n"),
     )
 
 

@@ -16,7 +16,7 @@ from symgraph.schemas import SYMBOL_KINDS
 _EDGE = ("src", "dst", "kind")
 
 
-# --- identities ---------------------------------------------------------------
+# --- identities (their prefixes, and the kinds of nodes and edges, are fixed values) ---------
 
 
 def package_id(folder: Column) -> Column:
@@ -57,11 +57,30 @@ def structural_nodes(symbols: DataFrame) -> DataFrame:
     return packages.unionByName(files).unionByName(own.dropDuplicates(["id"]))
 
 
+def file_nodes(files: DataFrame) -> DataFrame:
+    """Package and file nodes of ``files(file)``, also of those without symbols."""
+    folder, nothing = package_dir(F.col("file")), F.lit("")
+    tail = (F.lit(0).alias("line"), nothing.alias("summary"))
+    packages = files.select(package_id(folder).alias("id"), F.lit("package").alias("kind"), folder.alias("name"), nothing.alias("file"), *tail)
+    own = files.select(file_id(F.col("file")).alias("id"), F.lit("file").alias("kind"), F.substring_index("file", "/", -1).alias("name"), "file", *tail)
+    return packages.unionByName(own).distinct()
+
+
+def package_nodes(imports: DataFrame) -> DataFrame:
+    """Nodes of the packages that ``imports(package)`` name, local and external."""
+    name = F.regexp_replace("package", "^pkg:(?:ext:)?", "")
+    return imports.select(F.col("package").alias("id"), F.lit("package").alias("kind"), name.alias("name"), F.lit("").alias("file"), F.lit(0).alias("line"), F.lit("").alias("summary")).distinct()
+
+
+def file_edges(files: DataFrame) -> DataFrame:
+    """``defines`` edges from packages to ``files(file)``."""
+    return files.select(package_id(package_dir(F.col("file"))).alias("src"), file_id(F.col("file")).alias("dst"), F.lit("defines").alias("kind")).distinct()
+
+
 def defines_edges(symbols: DataFrame) -> DataFrame:
-    file, folder = file_id(F.col("file")), package_dir(F.col("file"))
-    of_package = symbols.select(package_id(folder).alias("src"), file.alias("dst"), F.lit("defines").alias("kind"))
-    of_file = symbols.select(file.alias("src"), symbol_id(F.col("file"), F.col("symbol")).alias("dst"), F.lit("defines").alias("kind"))
-    return of_package.unionByName(of_file).distinct()
+    """``defines`` edges from packages to files and from files to ``symbols(file, symbol)``."""
+    held = symbols.select(file_id(F.col("file")).alias("src"), symbol_id(F.col("file"), F.col("symbol")).alias("dst"), F.lit("defines").alias("kind"))
+    return file_edges(symbols.select("file")).unionByName(held.distinct())
 
 
 def _trimmed(line: Column) -> Column:
@@ -109,17 +128,17 @@ def folders_of(files: DataFrame) -> DataFrame:
     return files.select(F.explode(above).alias("folder")).distinct()
 
 
-def resolve_imports(files: DataFrame, module: str = "") -> DataFrame:
-    """``(file, alias, path, package)`` of every import of ``files(path, content)``, in order.
+def resolve_imports(files: DataFrame, module: str = "", known: DataFrame | None = None) -> DataFrame:
+    """``(file, ord, alias, path, package)`` of every import of ``files(path, content)``, in order.
 
-    The package is the folder named if files are in it, else its parent if that is a folder,
-    else external.
+    The package is the folder named if files of ``known(path)`` (by default ``files``) are in
+    it, else its parent if that is a folder, else external.
     """
     language, folder = detect_language(F.col("path")), package_dir(F.col("path"))
     refs = files.select(F.col("path").alias("file"), language.alias("_language"), folder.alias("_folder"), F.posexplode(extract_imports(language, F.col("content"))).alias("ord", "_ref"))
     refs = refs.select("file", "ord", F.col("_ref.alias").alias("alias"), F.col("_ref.path").alias("path"), local_import_candidates(F.col("_language"), F.col("_folder"), F.col("_ref.path"), F.lit(module)).alias("_at"))
     refs = refs.withColumn("_above", F.when(F.col("_at").contains("/"), package_dir(F.col("_at"))))
-    there = folders_of(files)
+    there = folders_of(files if known is None else known)
     for at, name in (("_at", "_here"), ("_above", "_parent")):
         refs = refs.join(there.select(F.col("folder").alias(at), F.col("folder").alias(name)), at, "left")
     package = F.coalesce(package_id(F.coalesce("_here", "_parent")), external_package_id(F.col("path")))
@@ -130,8 +149,19 @@ def import_edges(imports: DataFrame) -> DataFrame:
     return imports.select(file_id(F.col("file")).alias("src"), F.col("package").alias("dst"), F.lit("imports").alias("kind")).distinct()
 
 
-def resolve_calls(symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """``calls`` edges of ``symbols(file, symbol, type, calls)``.
+def call_owners(symbols: DataFrame) -> DataFrame:
+    """``(dst, name, package)``: what calls can resolve to among ``symbols(file, symbol, type)``."""
+    owners = symbols.where(node_kind(F.col("type")).isin("func", "method"))
+    return owners.select(symbol_id(F.col("file"), F.col("symbol")).alias("dst"), F.col("symbol").alias("name"), package_id(package_dir(F.col("file"))).alias("package"))
+
+
+def node_owners(nodes: DataFrame) -> DataFrame:
+    """The same among stored ``nodes(id, name, file)``."""
+    return nodes.select(F.col("id").alias("dst"), "name", package_id(package_dir(F.col("file"))).alias("package"))
+
+
+def resolve_calls(symbols: DataFrame, imports: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+    """``calls`` edges of ``symbols(file, symbol, type, calls)`` to ``owners`` (by default, among themselves).
 
     A bare call is of the caller's package; ``alias.name`` of the local package that the
     file's last import under that alias names. The callee is a function or method of exactly
@@ -144,7 +174,7 @@ def resolve_calls(symbols: DataFrame, imports: DataFrame) -> DataFrame:
     calls = calls.join(known.where(is_local_package(F.col("package"))), ["file", "alias"], "left")
     wanted = F.when(F.col("alias").isNull(), package_id(package_dir(F.col("file")))).otherwise(F.col("package"))
     callers = calls.select(symbol_id(F.col("file"), F.col("symbol")).alias("src"), "name", wanted.alias("package")).where("package is not null")
-    owners = symbols.where(node_kind(F.col("type")).isin("func", "method")).select(symbol_id(F.col("file"), F.col("symbol")).alias("dst"), F.col("symbol").alias("name"), package_id(package_dir(F.col("file"))).alias("package"))
+    owners = call_owners(symbols) if owners is None else owners
     return callers.join(owners, ["name", "package"]).where("src <> dst").select("src", "dst", F.lit("calls").alias("kind")).distinct()
 
 
@@ -245,6 +275,16 @@ def adjacency(edges: DataFrame, roots: DataFrame, cap: int = 8) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n") if cap > 0 else both
 
 
+def symbol_info(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """Symbols of a name with all edges at them: ``out`` and ``into``, arrays of struct(kind, other) in order."""
+    found = nodes.where((F.col("name") == name) & F.col("kind").isin(*SYMBOL_KINDS))
+    sides = adjacency(edges, found.select("id"), 0)
+    for direction, column in (("out", "out"), ("in", "into")):
+        held = sides.where(F.col("direction") == direction).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("kind", "other"))).alias(column))
+        found = found.join(held, "id", "left").withColumn(column, F.coalesce(column, F.array().cast("array<struct<kind:string,other:string>>")))
+    return found.orderBy("kind", "file", "id")
+
+
 def branch_chain(branches: DataFrame, start: str | int, most: int = 16) -> list:
     """A branch and its ancestors, nearest first: up to ``most`` hops, none twice, indexed ones only.
 

@@ -95,6 +95,17 @@ def exact(nodes: DataFrame, query: str | Column, limit: int = 0) -> DataFrame:
     return found.limit(limit) if limit > 0 else found
 
 
+def exact_each(nodes: DataFrame, queries: DataFrame, key: str, text: str, limit: int = 0) -> DataFrame:
+    """``exact`` for every row of ``queries(key, text)``: ``key, position`` and the columns of the symbols found.
+
+    Tokens that name no symbol go with the join; ``limit`` counts for each query.
+    """
+    tokens = queries.select(key, F.posexplode(query_identifiers(F.col(text))).alias("position", "name"))
+    found = tokens.join(nodes.where(F.col("kind").isin(*SYMBOL_KINDS)), "name").withColumn("score", F.lit(1.0))
+    order = Window.partitionBy(key).orderBy("position", "kind", "file", "id")
+    return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n") if limit > 0 else found
+
+
 def merge(first: DataFrame, then: DataFrame, k: int, key: Sequence[str] = ("file", "symbol")) -> DataFrame:
     """Exact hits, then as many others as are left of ``k``, less those already there.
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from symgraph.functions import text as t
 from symgraph.functions.imports import extract_imports
 from symgraph.functions.paths import detect_language, should_skip, stored_language, under_dir
-from symgraph.operators import diff, digest, graph
+from symgraph.operators import diff, digest, graph, lookups
 from symgraph.operators import search as s
+from symgraph.plans import registry
 from symgraph.session import with_package
 from symgraph.sources import changes
 from symgraph.sources.files import project_status as status_of
@@ -124,16 +125,19 @@ def query_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @bound(f"""
-    WITH names AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part),
-    asked AS (SELECT doc_id, unnest(list_concat({_TOKENS.format(text="'find ' || source || ' text'")}, [(SELECT min(name) FROM names), (SELECT max(name) FROM names)])) AS name FROM documents)
-    SELECT name, count(*) AS asked FROM asked JOIN names USING (name) GROUP BY name""")
+    WITH names AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part), m AS (SELECT min(name) AS a, max(name) AS z FROM names),
+    asked AS (SELECT doc_id, unnest({_TOKENS.format(text="text || ' ' || source || ' ' || CASE doc_id % 3 WHEN 0 THEN a || ' and ' || z WHEN 1 THEN z ELSE '' END")}) AS name FROM documents, m)
+    SELECT name, count(*) AS asked, CAST(sum(doc_id) AS BIGINT) AS ids FROM asked JOIN names USING (name) GROUP BY name""")
 def exact_token_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of part names that each document's text, with some names added, mentions."""
     names = table(spark, sf_dir, "part").select(F.split("p_name", " ")[0].alias("name")).distinct()
     ends = names.agg(F.min("name").alias("a"), F.max("name").alias("z"))
     docs = table(spark, sf_dir, "documents").crossJoin(F.broadcast(ends))  # one row
-    question = F.concat_ws(" ", F.lit("find"), "source", F.lit("text"), "a", "z")
-    asked = docs.select("doc_id", F.explode(t.query_identifiers(question)).alias("name"))
-    return asked.join(names, "name").groupBy("name").agg(F.count(F.lit(1)).alias("asked"))
+    added = F.when(F.col("doc_id") % 3 == 0, F.concat_ws(" and ", "a", "z")).when(F.col("doc_id") % 3 == 1, F.col("z")).otherwise("")
+    asked = docs.select("doc_id", F.concat_ws(" ", "text", "source", added).alias("question"))
+    nodes = names.select("name", F.lit("func").alias("kind"), F.lit("").alias("file"), F.col("name").alias("id"))
+    found = s.exact_each(nodes, asked, "doc_id", "question")
+    return found.groupBy("name").agg(F.count(F.lit(1)).alias("asked"), F.sum("doc_id").alias("ids"))
 
 
 # --- scalars ------------------------------------------------------------------
@@ -179,7 +183,7 @@ def cap_runes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(capped, 256).alias("digest"), F.length(capped).cast("bigint").alias("chars"), F.length(whole).cast("bigint").alias("uncapped"))
 
 
-_HEADER = "'Symbol: ' || source || chr(10) || 'Type: text' || chr(10) || 'Language: ' || lang || chr(10) || chr(10) || 'Purpose:' || chr(10) || chr(10) || chr(10) || 'Business context:' || chr(10) || chr(10) || chr(10) || 'Responsibilities:' || chr(10) || chr(10) || chr(10) || 'Dependencies:' || chr(10) || lang || ', ' || source || chr(10) || chr(10) || 'Concepts:' || chr(10) || chr(10) || chr(10) || 'Code:' || chr(10)"
+_HEADER = "source || ' [text] in ' || lang || chr(10) || 'Does: ' || chr(10) || 'Serves: ' || chr(10) || 'Duties: ' || chr(10) || 'Uses: ' || lang || ', ' || source || chr(10) || 'Topics: ' || chr(10) || chr(10)"
 _CUT = f"""
     WITH h AS (SELECT doc_id, {_HEADER} AS head, {_CLEAN.format(x='text')} AS body FROM documents),
     w AS (SELECT *, CASE WHEN length(head) + length(body) <= 4000 THEN greatest(length(body), 1) ELSE greatest(4000 - length(head), 1000) END AS width FROM h),
@@ -216,6 +220,19 @@ def extract_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.array_sort(t.extract_calls(F.col("html"))), ",").alias("calls"))
 
 
+@bound("""
+    WITH w AS (SELECT p_partkey, replace(p_brand, '#', '') AS p, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)
+    SELECT p_partkey, 'go' AS language, unnest([b, a]) AS alias, unnest(['x.org/' || p || '/' || b, 'x.org/' || p]) AS path FROM w UNION ALL
+    SELECT p_partkey, 'typescript', unnest([a, b, b || 's', a || '_c']), unnest(['./' || p, p, '../' || p, '../' || p]) FROM w""")
+def import_extract_go_js(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", F.replace("p_brand", F.lit("#"), F.lit("")).alias("p"), F.split("p_name", " ")[0].alias("a"), F.split("p_name", " ")[1].alias("b"))
+    go = F.format_string('import (\n\t"x.org/%s/%s"\n\t%s "x.org/%s"\n\t_ "side/effects"\n)\n', "p", "b", "a", "p")
+    script = F.format_string("import * as %s from './%s'\nimport %s from \"%s\"\nimport { %ss, x as %s_c } from `../%s`\n", "a", "p", "b", "p", "b", "a", "p")
+    both = part.select("p_partkey", F.lit("go").alias("language"), go.alias("source")).unionByName(part.select("p_partkey", F.lit("typescript").alias("language"), script.alias("source")))
+    refs = both.select("p_partkey", "language", F.explode(extract_imports(F.col("language"), F.col("source"))).alias("r"))
+    return refs.select("p_partkey", "language", "r.alias", "r.path")
+
+
 @bound("""
     SELECT p_partkey, unnest([a || '_x', b, 'pkg', a]) AS alias, unnest([p_brand || '.' || b, p_brand || '.' || a, 'top.pkg', p_brand || '.sub.' || a]) AS path
     FROM (SELECT p_partkey, replace(p_brand, '#', '') AS p_brand, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)""")
@@ -384,15 +401,17 @@ _TREE_SQL = """
     WITH RECURSIVE e(src, dst) AS (SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer
         UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders),"""
 _RING_SQL = """
-    WITH RECURSIVE e(src, dst) AS (SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity <= 2
-        UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity <= 2),"""
+    WITH RECURSIVE e(src, dst) AS MATERIALIZED (SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_returnflag = 'R'
+        UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_returnflag <> 'R'),"""
 _WALK_SQL = " w(id, depth) AS (SELECT {root}, 0 UNION SELECT {to}, depth + 1 FROM w JOIN e ON {own} = id WHERE depth < {depth})"
 
 
 def _ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = table(spark, sf_dir, "lineitem").where("l_quantity <= 2")
+    """A graph with cycles: every line item leads from supplier to part, or back, by its return flag."""
+    items = table(spark, sf_dir, "lineitem")
     s_, p = F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey")
-    return few.where("l_returnflag = 'R'").select(s_.alias("src"), p.alias("dst")).unionByName(few.where("l_returnflag = 'A'").select(p.alias("src"), s_.alias("dst"))).distinct()
+    return_ = items.where("l_returnflag = 'R'").select(s_.alias("src"), p.alias("dst"))
+    return return_.unionByName(items.where("l_returnflag <> 'R'").select(p.alias("src"), s_.alias("dst"))).distinct()
 
 
 def _root(spark: SparkSession, name: str) -> DataFrame:
@@ -519,7 +538,7 @@ def package_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     x AS (SELECT DISTINCT 'R' || n_regionkey AS package, '' AS file, 'R' || n_regionkey || '/' AS line FROM nation UNION ALL
           SELECT 'R' || n_regionkey, 'R' || n_regionkey || '/' || n_name, '  ' || n_name || CASE WHEN k > 0 THEN ' (' || k || ' symbols)' ELSE '' END
           FROM nation LEFT JOIN c ON c_nationkey = n_nationkey)
-    SELECT left('# Project structure' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY package, file) || chr(10), 32000) AS digest FROM x""")
+    SELECT left('# Files by folder' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY package, file) || chr(10), 32000) AS digest FROM x""")
 def structure_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.structure(_geography(spark, sf_dir))
 
@@ -533,6 +552,171 @@ def context_block_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("conv_id", "turn", "role", F.sha2("text", 256).alias("digest"))
 
 
+@bound("""
+    SELECT 'id' AS ask, 'pkg:R1' AS id, 0 AS line UNION ALL
+    SELECT 'name', 'file:R' || n_regionkey || '/' || n_name, 0 FROM nation WHERE n_name = 'NATION_7' UNION ALL
+    SELECT 'file', 'file:R' || n_regionkey || '/' || n_name, 0 FROM nation WHERE n_name = 'NATION_7' UNION ALL
+    SELECT 'file', 'sym:' || c_custkey, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_7' UNION ALL
+    SELECT 'symbols', 'sym:' || c_custkey, c_custkey FROM customer UNION ALL
+    SELECT 'files', 'file:R' || n_regionkey || '/' || n_name, 0 FROM nation UNION ALL
+    SELECT DISTINCT 'packages', 'pkg:R' || n_regionkey, 0 FROM nation""")
+def node_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _geography(spark, sf_dir)
+    home = nodes.where("name = 'NATION_7'").select("file").first()[0]
+    asked = {"id": lookups.node_by_id(nodes, "pkg:R1"), "name": lookups.nodes_by_name(nodes, "NATION_7"), "file": lookups.nodes_in_file(nodes, home)}
+    asked |= {"symbols": lookups.symbol_nodes(nodes), "files": lookups.file_nodes(nodes), "packages": lookups.packages(nodes)}
+    parts = [df.select(F.lit(name).alias("ask"), "id", "line") for name, df in asked.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@bound("""
+    SELECT 'from' AS side, 'p' || l_partkey AS other FROM lineitem WHERE l_suppkey = 5 GROUP BY ALL UNION ALL
+    SELECT 'to', 's' || l_suppkey FROM lineitem WHERE l_partkey = 7 GROUP BY ALL""")
+def edge_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _supplies(spark, sf_dir)
+    out = lookups.edges_from(edges, "s5").select(F.lit("from").alias("side"), F.col("dst").alias("other"))
+    return out.unionByName(lookups.edges_to(edges, "p7").select(F.lit("to").alias("side"), F.col("src").alias("other")))
+
+
+@bound("""
+    SELECT 'chunk' AS ask, CAST(doc_id AS VARCHAR) AS what FROM documents WHERE source = 'src3' UNION ALL
+    SELECT DISTINCT 'file', source FROM documents""")
+def manifest_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("doc_id").cast("string").alias("chunk_id"))
+    chunks = lookups.chunks_of_file(manifest, "src3").select(F.lit("chunk").alias("ask"), F.col("chunk_id").alias("what"))
+    return chunks.unionByName(lookups.manifest_files(manifest).select(F.lit("file").alias("ask"), F.col("file").alias("what")))
+
+
+@bound("SELECT lang, min(doc_id) AS first FROM documents WHERE lang <> '' GROUP BY lang")
+def languages_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.languages_seen(table(spark, sf_dir, "documents"), "lang", "doc_id")
+
+
+@bound("""SELECT '{"name":"' || c_name || '","path":"/w/' || c_custkey || '","points":' || count(o_orderkey) || '}' AS json FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_name, c_custkey""")
+def project_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    projects = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.concat(F.lit("/w/"), "c_custkey").alias("path"))
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return lookups.json_rows(status_of(projects, orders.select(F.col("c_name").alias("project"))).drop("indexed"))
+
+
+@bound("""
+    WITH s AS (SELECT doc_id, '// ' || source || ' — ' || doc_id || ' (text)' || chr(10) || text || chr(10) || chr(10) AS section FROM documents),
+    r AS (SELECT doc_id, section, row_number() OVER (ORDER BY doc_id) AS n, sum(strlen(section)) OVER (ORDER BY doc_id) AS b FROM s)
+    SELECT doc_id, sha256(section) AS digest FROM r WHERE n = 1 OR b <= 200000""")
+def readme_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file"), F.col("doc_id").cast("string").alias("symbol"), F.lit("text").alias("type"), F.col("text").alias("content"))
+    return lookups.readme_source(docs, order=("doc_id",)).select("doc_id", F.sha2("section", 256).alias("digest"))
+
+
+_PROJECTS = "SELECT c_name AS name, '/w/' || c_nationkey || '/' || c_custkey AS path FROM customer"
+
+
+def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.concat(F.lit("/w/"), "c_nationkey", F.lit("/"), "c_custkey").alias("path"))
+
+
+@bound(f"""
+    WITH p AS ({_PROJECTS}), n AS (SELECT c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '/moved/' || c_custkey END AS path FROM customer WHERE c_custkey % 2 = 0
+        UNION ALL SELECT s_name, '/s/' || s_suppkey FROM supplier)
+    SELECT coalesce(p.name, n.name) AS name, coalesce(nullif(n.path, ''), p.path, '') AS path FROM p FULL JOIN n ON p.name = n.name
+    WHERE coalesce(p.name, n.name) <> (SELECT max(s_name) FROM supplier)""")
+def registry_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer, supplier = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0"), table(spark, sf_dir, "supplier")
+    path = F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.concat(F.lit("/moved/"), "c_custkey"))
+    new = customer.select(F.col("c_name").alias("name"), path.alias("path")).unionByName(supplier.select(F.col("s_name").alias("name"), F.concat(F.lit("/s/"), "s_suppkey").alias("path")))
+    last = supplier.agg(F.max("s_name")).first()[0]
+    return registry.remove_projects(registry.add_projects(_projects(spark, sf_dir), new), [last, "nobody"])
+
+
+@bound(f"""
+    WITH p AS ({_PROJECTS}), q AS (SELECT o_orderkey AS request, CASE o_orderkey % 4 WHEN 0 THEN c_name WHEN 1 THEN 'new' || o_orderkey ELSE '' END AS name,
+        CASE WHEN o_orderkey % 5 = 0 THEN '/given/' || o_orderkey ELSE '' END AS path,
+        CASE WHEN o_orderkey % 3 = 0 THEN '/home/x' || o_orderkey ELSE '/w/' || c_nationkey || '/' || c_custkey END AS cwd FROM orders JOIN customer ON o_custkey = c_custkey),
+    a AS (SELECT request, cwd, nullif(q.name, '') AS name, coalesce(nullif(q.path, ''), p.path, cwd) AS path FROM q LEFT JOIN p ON p.name = q.name)
+    SELECT request, coalesce(a.name, (SELECT min(p.name) FROM p WHERE p.path = a.path), split_part(cwd, '/', -1)) AS name, path FROM a""")
+def registry_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    k = F.col("o_orderkey")
+    name = F.when(k % 4 == 0, F.col("c_name")).when(k % 4 == 1, F.concat(F.lit("new"), k)).otherwise("")
+    cwd = F.when(k % 3 == 0, F.concat(F.lit("/home/x"), k)).otherwise(F.concat(F.lit("/w/"), "c_nationkey", F.lit("/"), "c_custkey"))
+    requests = asked.select(k.alias("request"), name.alias("name"), F.when(k % 5 == 0, F.concat(F.lit("/given/"), k)).otherwise("").alias("path"), cwd.alias("cwd"))
+    return registry.resolve_projects(_projects(spark, sf_dir), requests)
+
+
+def _program(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The geography with some customers as entry points, regions that import one another, and calls among customers."""
+    nodes = _geography(spark, sf_dir)
+    entry = F.col("id").startswith("sym:") & (F.col("line") % 400 == 7)
+    nodes = nodes.withColumn("kind", F.when(entry, "func").otherwise(F.col("kind"))).withColumn("name", F.when(entry, "Main").otherwise(F.col("name")))
+    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    edge = lambda df, a, b, kind: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("kind"))
+    region = lambda n: F.concat(F.lit("pkg:R"), n)
+    file = F.concat(F.lit("file:R"), "n_regionkey", F.lit("/"), "n_name")
+    symbol = lambda n: F.concat(F.lit("sym:"), n)
+    edges = edge(nation, region(F.col("n_regionkey")), file, "defines")
+    edges = edges.unionByName(edge(nation.where("n_nationkey < 20"), file, region(F.pmod(F.col("n_nationkey") * 3, F.lit(5))), "imports"))
+    edges = edges.unionByName(edge(nation.where("n_nationkey % 4 = 1"), file, F.concat(F.lit("pkg:ext:"), "n_name"), "imports"))
+    return nodes, edges.unionByName(edge(customer, symbol(F.col("c_custkey")), symbol(F.col("c_custkey") % 37 + 1), "calls"))
+
+
+@bound("""
+    WITH RECURSIVE f AS (SELECT 'file:R' || n_regionkey || '/' || n_name AS file, 'pkg:R' || n_regionkey AS package, n_nationkey AS k FROM nation),
+    i AS (SELECT file, package, 'pkg:R' || (k * 3) % 5 AS dst FROM f WHERE k < 20),
+    e AS (SELECT file AS src, dst FROM i UNION SELECT package, dst FROM i),
+    w(id, depth) AS (SELECT 'pkg:R1', 0 UNION SELECT dst, depth + 1 FROM w JOIN e ON src = id WHERE depth < 3)
+    SELECT id, min(depth) AS depth, 'package' AS kind FROM w WHERE id <> 'pkg:R1' GROUP BY id""")
+def package_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """External packages have no node here, so they are not listed."""
+    nodes, edges = _program(spark, sf_dir)
+    return graph.dependencies(edges, nodes, graph.resolve_target(nodes, "R1"), 3).select("id", "depth", "kind")
+
+
+@bound("""
+    WITH s AS (SELECT 'sym:' || c_custkey AS id, c_custkey AS k, CASE WHEN c_custkey % 400 = 7 THEN 'Main' ELSE c_name END AS name FROM customer),
+    o AS (SELECT id, 'sym:' || (k % 37 + 1) AS other FROM s)
+    SELECT s.id, (SELECT 'calls' || ' ' || other FROM o WHERE o.id = s.id) AS out,
+           coalesce((SELECT string_agg('calls ' || o.id, ',' ORDER BY o.id) FROM o WHERE o.other = s.id), '') AS into
+    FROM s WHERE name = 'Main'""")
+def symbol_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _program(spark, sf_dir)
+    told = lambda c: F.array_join(F.transform(c, lambda e: F.concat_ws(" ", e["kind"], e["other"])), ",").alias(c)
+    return graph.symbol_info(nodes, edges, "Main").select("id", told("out"), told("into"))
+
+
+@bound("""
+    WITH e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem),
+    b AS (SELECT src AS id, 0 AS d, dst AS other FROM e UNION ALL SELECT dst, 1, src FROM e),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id, d ORDER BY other) AS n FROM b)
+    SELECT id, string_agg(CASE d WHEN 0 THEN 'calls → ' ELSE 'calls ← ' END || other, chr(10) ORDER BY d, other) AS block FROM r WHERE n <= 8 GROUP BY id""")
+def adjacency_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _supplies(spark, sf_dir)
+    roots = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id")))
+    sides = graph.adjacency(edges, roots, 8)
+    held = lambda d: F.array_sort(F.collect_list(F.when(F.col("direction") == d, F.struct("kind", "other"))))
+    listed = sides.groupBy("id").agg(held("out").alias("out"), held("in").alias("into"))
+    return listed.select("id", t.edges_block(F.col("out"), F.col("into")).alias("block"))
+
+
+@bound("""
+    WITH c AS (SELECT c.*, CASE WHEN c_custkey % 400 = 7 THEN 'Main' ELSE c_name END AS name, 'R' || n_regionkey AS package, 'R' || n_regionkey || '/' || n_name AS file
+               FROM customer c JOIN nation ON c_nationkey = n_nationkey),
+    n AS (SELECT package, count(*) AS k FROM c GROUP BY package),
+    r AS (SELECT *, row_number() OVER (PARTITION BY package ORDER BY file, c_custkey) AS k FROM c WHERE c_acctbal > 5000),
+    a AS (SELECT package, string_agg(name || ': ' || c_mktsegment, '; ' ORDER BY k) AS about FROM r WHERE k <= 2 GROUP BY package),
+    p AS (SELECT string_agg('- ' || package || ' (' || k || ' symbols)' || coalesce(' — ' || about, ''), chr(10) ORDER BY package) AS t FROM n LEFT JOIN a USING (package)),
+    e AS (SELECT string_agg('- ' || file || ':' || c_custkey || ' Main', chr(10) ORDER BY file, c_custkey) AS t FROM c WHERE name = 'Main'),
+    f AS (SELECT c_custkey % 37 + 1 AS k, count(*) AS callers FROM customer GROUP BY 1),
+    g AS (SELECT name, callers, file, c_custkey, row_number() OVER (ORDER BY callers DESC, name, 'sym:' || c_custkey) AS i FROM f JOIN c ON c_custkey = k),
+    h AS (SELECT string_agg(i || '. ' || name || ' (' || callers || ' callers) — ' || file || ':' || c_custkey, chr(10) ORDER BY i) AS t FROM g WHERE i <= 10)
+    SELECT left('# The code at a glance' || chr(10) || chr(10) || '## Folders' || chr(10) || p.t || chr(10) || chr(10) || '## Starts at' || chr(10) || e.t || chr(10)
+        || chr(10) || '## Called most' || chr(10) || h.t || chr(10), 4000) AS digest FROM p, e, h""")
+def summary_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.summary(*_program(spark, sf_dir))
+
+
 # --- what SQL can't express ---------------------------------------------------
 
 

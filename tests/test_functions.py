@@ -79,7 +79,6 @@ def test_languages_and_folders(spark):
     assert values(spark, paths.detect_language(F.col("x")), ["a.GO", "b.tsx", "c.txt", "noext", ".ts"]) == ["go", "typescript", "", "", "typescript"]
     assert values(spark, paths.stored_language(F.col("x")), ["a.go", "b.tsx", "c.rs"]) == ["go", "ts", ""]
     assert values(spark, paths.under_dir(F.col("x"), ["./vendor/", "/r/abs"], "/r"), ["vendor/a", "myvendor/a", "vendor", "abs/x"]) == [True, False, True, True]
-    assert values(spark, paths.infer_layer(F.col("x")), ["a/Services/b.py", "x/y.py", "handler.go"]) == ["service", "", "handler"]
     assert values(spark, paths.infer_module(F.col("x")), ["services/user/service.py"]) == ["services.user.service"]
 
 

@@ -121,13 +121,13 @@ def test_digests(spark):
     tree = digest.structure(nodes).first()["digest"]
     assert "  handler.go (2 symbols)" in tree and "  main.go (1 symbols)" in tree
     assert digest.session_digest(nodes, edges).first()["digest"].count("# ") >= 2
-    assert "(none indexed yet)" in digest.structure(nodes.limit(0)).first()["digest"]
+    assert "nothing yet" in digest.structure(nodes.limit(0)).first()["digest"]
 
 
 def test_context_block(spark):
     rows = [(i, 0.5, f"S{i}", "func", "a.go", "", "p" * 100, "c") for i in range(5)]
     results = spark.createDataFrame(rows, "position int, score double, symbol string, type string, file string, layer string, purpose string, code string")
-    block = digest.context_block(results, "p", 'q "x"', 130).first()["block"]
-    assert block.startswith('<context project="p" query="q \\"x\\"">') and block.endswith("</context>") and block.count("--- Result") == 2
-    assert digest.context_block(results, "p", "q", 1).first()["block"].count("--- Result") == 1
-    assert digest.context_block(results.limit(0), "p", "q").first()["block"].count("--- Result") == 0
+    block = digest.context_block(results, "p", 'q "x"', 110).first()["block"]
+    assert block.startswith('<context project="p" query="q \\"x\\"">') and block.endswith("</context>") and block.count("## ") == 2
+    assert digest.context_block(results, "p", "q", 1).first()["block"].count("## ") == 1
+    assert digest.context_block(results.limit(0), "p", "q").first()["block"].count("## ") == 0

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from symgraph.operators import graph
 from symgraph.operators.enrich import Fallback, HashedWords, RateLimited
 from symgraph.operators.parse import extract_symbols
-from symgraph.plans.store import Store
-from symgraph.plans.sync import hybrid_search, semantic_search, sync
+from symgraph.plans.store import Locked, Store
+from symgraph.plans.sync import cached_digest, clean_branches, hybrid_search, index, semantic_search, sync
 from symgraph.sources.files import module_name, read_files
 from symgraph.streaming.sync import read_arrivals, start_sync
 
@@ -129,14 +129,94 @@ def test_sync_is_incremental(spark, tmp_path):
     assert sorted(map(tuple, nodes[0].collect())) == sorted(map(tuple, nodes[1].collect()))
     live = [sorted(map(tuple, e.join(n.select(F.col("id").alias("dst")), "dst", "left_semi").select(e.columns).collect())) for e, n in zip(edges, nodes, strict=True)]
     assert live[0] == live[1]
-    assert [r["dst"] for r in graph.dangling_edges(edges[0], nodes[0]).collect()] == ["file:c.py"]
+    assert {r["dst"] for r in graph.dangling_edges(edges[0], nodes[0]).collect()} == {"file:c.py"}
     assert store.table("manifest", "p", "main", version=1).count() == 5
+    called = {r["symbol"]: r["called_by"] for r in rebuilt.table("points", "p", "main").collect()}
+    assert "keep" in called["run"]
     sync(store, "p", "other", files(tree), now=4)
     store.drop_branch("p", "main")
     store.publish()
     assert store.table("points", "p", "main").count() == 0 and store.count("p") == 5
 
 
+TREE = {
+    "app/a.py": "import os\nimport lib.util as u\n\ndef foo(x):\n    y = u.help(x)\n    return bar(y)\n\ndef bar(x):\n    y = x\n    return y\n",
+    "lib/util.py": "def help(x):\n    y = x\n    return y\n",
+}
+
+
+def edges_of(store, kind):
+    return {(r["src"], r["dst"]) for r in store.table("edges", "p", "main").where(F.col("kind") == kind).collect()}
+
+
+def as_files(spark, tree):
+    return spark.createDataFrame(sorted(tree.items()), "path string, content string")
+
+
+def test_sync_of_changed_files_resolves_against_the_store(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    sync(store, "p", "main", as_files(spark, TREE), now=1)
+    call, local = ("sym:app/a.py#foo", "sym:lib/util.py#help"), ("file:app/a.py", "pkg:lib")
+    assert call in edges_of(store, "calls") and edges_of(store, "imports") == {local, ("file:app/a.py", "pkg:ext:os")}
+    marker = spark.createDataFrame([("p", "main", "sym:app/a.py#bar", "sym:ext:marker", "calls")], store.table("edges").schema)
+    store.upsert("edges", "p", "main", marker)
+    store.publish()
+    users = spark.range(3).persist()
+    changed = sync(store, "p", "main", as_files(spark, {"app/a.py": TREE["app/a.py"].replace("bar(y)", "bar(y + 1)")}), complete=False, now=2)
+    assert (changed.dirty_symbols, changed.removed) == (1, 0)
+    # The callee's file was not given; the clean symbol's marker stays.
+    assert call in edges_of(store, "calls") and ("sym:app/a.py#bar", "sym:ext:marker") in edges_of(store, "calls")
+    assert local in edges_of(store, "imports") and users.storageLevel.useMemory
+    folders = store._folders(store.version())
+    only = sync(store, "p", "main", as_files(spark, {"app/a.py": TREE["app/a.py"].replace("bar(y)", "bar(y + 1)").replace("import os", "import sys")}), complete=False, now=3)
+    assert (only.dirty_symbols, only.chunks, only.version) == (0, 0, changed.version + 1)
+    assert edges_of(store, "imports") == {local, ("file:app/a.py", "pkg:ext:sys")}
+    sync(store, "q", "main", as_files(spark, TREE), now=4)
+    assert {k: v for k, v in store._folders(store.version()).items() if k[1][0] == "p" and k[0] == "points"}.keys() == {k for k in folders if k[0] == "points"}
+    before = {k: v for k, v in store._folders(store.version()).items() if k[1][0] == "p"}
+    sync(store, "q", "main", as_files(spark, {"lib/util.py": TREE["lib/util.py"].replace("y = x", "y = 2")}), complete=False, now=5)
+    assert {k: v for k, v in store._folders(store.version()).items() if k[1][0] == "p"} == before
+    sync(store, "p", "main", spark.createDataFrame([], "path string, content string"), spark.createDataFrame([("lib/util.py",)], "file string"), complete=False, now=6)
+    assert {r["id"] for r in store.table("nodes", "p", "main").where("file = 'lib/util.py'").collect()} == set()
+    assert store.expire() > 0 and len(store.versions()) == 1 and store.exists("q", "main") and not store.exists("q", "other")
+    users.unpersist()
+
+
+def test_index_extend_and_branches(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    first = index(store, "p", "main", as_files(spark, TREE), now=1)
+    assert first.chunks == 3 == first.dirty_symbols and store.count("p") == 3
+    called = {r["symbol"]: r["called_by"] for r in store.table("points", "p").collect()}
+    assert called == {"foo": [], "bar": ["foo"], "help": []}
+    more = TREE | {"lib/new.py": "def fresh(x):\n    y = x\n    return y\n", "lib/util.py": TREE["lib/util.py"].replace("y = x", "y = 3")}
+    # Stored symbols are passed over, whatever their content is now.
+    assert index(store, "p", "main", as_files(spark, more), extend=True, now=2).dirty_symbols == 1
+    assert index(store, "p", "main", as_files(spark, more), now=3).dirty_symbols == 4
+    index(store, "p", "old", as_files(spark, TREE), now=4)
+    clean_branches(store, "p", ["old", "never"])
+    assert store.homes() == [("p", "main")]
+    with store.lock("p"):
+        assert sync(store, "p", "main", as_files(spark, more), wait=0.2).skipped
+        with pytest.raises(Locked), store.lock("p", 0.1):
+            pass
+    with store.lock("p"):
+        pass
+
+
+def test_digests_are_built_once_for_a_graph_version(spark, tmp_path, monkeypatch):
+    from symgraph.operators import digest
+
+    store, built = Store(spark, str(tmp_path / "store")), []
+    real = digest.summary
+    monkeypatch.setattr(digest, "summary", lambda *a: built.append(1) or real(*a))
+    sync(store, "p", "main", as_files(spark, TREE), now=1)
+    text = cached_digest(store, "p", "main")
+    assert "bar" in text and cached_digest(store, "p", "main") == text and built == [1]
+    sync(store, "p", "main", as_files(spark, TREE | {"lib/z.py": "def more(x):\n    y = x\n    return y\n"}), now=2)
+    assert cached_digest(store, "p", "main") != text and built == [1, 1]
+    assert "a.py (2 symbols)" in cached_digest(store, "p", "main", "structure")
+
+
 def test_searches(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     sync(store, "p", "main", spark.createDataFrame([("a.py", PY), ("b.py", "def parse_json(text):\n    data = text\n    return data\n")], "path string, content string"), now=1)
