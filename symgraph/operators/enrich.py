@@ -75,22 +75,24 @@ class HashedWords:
 
 
 def summarise(symbols: DataFrame, enricher: Enricher) -> DataFrame:
-    """``symbols`` with summary, tags, responsibilities and business_context; a failure leaves them empty."""
+    """``symbols`` with summary, tags, responsibilities and business_context; a failure leaves them empty and says why in ``error``."""
     names = symbols.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            replies = []
+            replies, errors = [], []
             for symbol, language, code in zip(*(batch.column(names.index(c)).to_pylist() for c in ("symbol", "language", "content")), strict=True):
                 try:
                     replies.append(enricher.reply(symbol or "", language or "", code or ""))
-                except Exception:  # a symbol without a summary is still indexed
+                    errors.append(None)
+                except Exception as error:  # a symbol without a summary is still indexed
                     replies.append("")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replies, pa.string())], names=[*names, "_reply"])
+                    errors.append(f"{type(error).__name__}: {error}")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=[*names, "_reply", "error"])
 
-    schema = StructType([*symbols.schema.fields, StructField("_reply", StringType())])
+    schema = StructType([*symbols.schema.fields, StructField("_reply", StringType()), StructField("error", StringType())])
     parsed = symbols.mapInArrow(run, schema).withColumn("_reply", parse_reply(F.col("_reply")))
-    return parsed.select(*names, "_reply.*")
+    return parsed.select(*names, "_reply.*", "error")
 
 
 def embed(chunks: DataFrame, embedder: Embedder, text: str = "text", batch_size: int = 20) -> DataFrame:

@@ -67,20 +67,42 @@ def gone_branches(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.where(F.col(line).contains(": gone]")).select(F.regexp_extract(text, r"^\s*(\S+)", 1).alias("branch"))
 
 
+def _git(repository: str, *arguments: str) -> str | None:
+    """A git command's output; None if it fails or there is no git."""
+    try:
+        done = subprocess.run(["git", "-C", repository, *arguments], capture_output=True, text=True, check=False)
+    except OSError:
+        return None
+    return None if done.returncode else done.stdout
+
+
 def git_lines(spark: SparkSession, repository: str, *arguments: str) -> DataFrame:
     """``(ord, line)``: the non-blank output lines of a git command; none if it fails."""
-    done = subprocess.run(["git", "-C", repository, *arguments], capture_output=True, text=True, check=False)
-    rows = [(i, x) for i, x in enumerate(done.stdout.splitlines()) if x.strip()] if not done.returncode else []
+    rows = [(i, x) for i, x in enumerate((_git(repository, *arguments) or "").splitlines()) if x.strip()]
     return spark.createDataFrame(rows, "ord int, line string")
 
 
+def is_repository(path: str) -> bool:
+    return (_git(path, "rev-parse", "--is-inside-work-tree") or "").strip() == "true"
+
+
+def current_branch(repository: str) -> str:
+    """The branch checked out; empty where none is."""
+    name = (_git(repository, "rev-parse", "--abbrev-ref", "HEAD") or "").strip()
+    return "" if name == "HEAD" else name
+
+
+def head_commit(repository: str) -> str:
+    return (_git(repository, "rev-parse", "HEAD") or "").strip()
+
+
 def tracked_files(spark: SparkSession, repository: str) -> DataFrame:
     return git_lines(spark, repository, "ls-files").select(F.col("line").alias("path"))
 
 
 def branch_candidates(spark: SparkSession, repository: str, branch: str) -> DataFrame:
-    """``(candidate, merge_base, base_ts, ahead)`` of every other local branch."""
-    run = lambda *a: subprocess.run(["git", "-C", repository, *a], capture_output=True, text=True, check=False).stdout.strip()
+    """``(candidate, merge_base, base_ts, ahead)`` of every other local branch that shares history."""
+    run = lambda *a: (_git(repository, *a) or "").strip()
     rows = []
     for name in run("for-each-ref", "--format=%(refname:short)", "refs/heads").splitlines():
         base = run("merge-base", name, branch) if name != branch else ""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgraph.functions.paths import indexable, under_dir
+from symgraph.sources.changes import is_repository, tracked_files
 
 
 def read_files(spark: SparkSession, root: str, patterns: Sequence[str] = (), ignored: Sequence[str] = (), only: str = "", chosen: DataFrame | None = None) -> DataFrame:
@@ -26,6 +27,16 @@ def read_files(spark: SparkSession, root: str, patterns: Sequence[str] = (), ign
     return listed.select("path", F.decode("_bytes", "UTF-8").alias("content"), "modified")
 
 
+def source_files(spark: SparkSession, root: str, patterns: Sequence[str] = (), ignored: Sequence[str] = (), only: str = "", paths: Sequence[str] | None = None) -> DataFrame:
+    """The files to index: those listed, else those that version control tracks, else all under ``root``."""
+    if paths is not None:
+        chosen = spark.createDataFrame([(p,) for p in paths], "path string")
+    else:
+        local = root.removeprefix("file://")
+        chosen = tracked_files(spark, local) if "://" not in local and is_repository(local) else None
+    return read_files(spark, root, patterns, ignored, only, chosen)
+
+
 def module_name(source: DataFrame, content: str = "content") -> DataFrame:
     """The module that the first line beginning ``module `` of a module file names."""
     lines = F.filter(F.transform(F.split(content, "\n"), F.trim), lambda x: x.startswith("module "))
