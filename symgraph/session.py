@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -37,11 +38,17 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def with_package(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """``query(spark, ...)`` after the package is on the executors."""
+    """``query(spark, ...)`` after the package is on the executors.
+
+    Rows here are whole texts, so batches sent to Python have fewer rows than Spark's
+    default, unless the session says otherwise.
+    """
 
     @functools.wraps(query)
     def run(spark: SparkSession, *args) -> DataFrame:
         ship_package(spark)
+        if spark.conf.get(_BATCH_ROWS) == "10000":
+            spark.conf.set(_BATCH_ROWS, "1000")
         return query(spark, *args)
 
     return run
