@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: Chunks whose ids a worker remembers (about 200 bytes each).
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS = 150_000
 
 #: The pre-token pattern of byte-level BPE vocabularies of this kind (a fixed value).
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

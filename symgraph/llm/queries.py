@@ -102,7 +102,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _url_sql() -> str:
-    patterns = "|".join(f"(?:{r.pattern})" for r in PATTERN_RULES).replace("'", "''")
+    fitting = lambda action: "|".join(f"(?:{r.pattern})" for r in PATTERN_RULES if r.action == action).replace("'", "''")
     fits = "(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     longest = sorted(HOST_RULES, key=lambda r: -len(r.name))
     cases = " ".join(f"WHEN {fits.format(h=r.host, p=r.path)} THEN '{r.name}'" for r in longest)
@@ -119,8 +119,8 @@ def _url_sql() -> str:
             FROM cut),
         ruled AS (SELECT *, CASE {cases} END AS rule FROM parts)
         SELECT page_id, host, path, rule,
-               coalesce(CASE rule {actions} END,
-                        CASE WHEN regexp_matches(lower(url), '{patterns}') THEN 'block' ELSE 'allow' END) AS verdict
+               coalesce(CASE rule {actions} END, CASE WHEN regexp_matches(lower(url), '{fitting("allow")}') THEN 'allow'
+                        WHEN regexp_matches(lower(url), '{fitting("block")}') THEN 'block' ELSE 'allow' END) AS verdict
         FROM ruled"""
 
 

@@ -15,7 +15,7 @@ from symgraph.llm.decontaminate import decontaminate, find_leaks
 from symgraph.llm.packing import pack_documents, padding, sequence_cost
 from symgraph.llm.shards import ConcurrentCommit, ShardStore
 from symgraph.llm.spotsigs import COMMON_WORDS, compare_edits, near_pairs
-from symgraph.llm.url_filter import HostRule, PatternRule, build_index, judge_urls
+from symgraph.llm.url_filter import HostRule, PatternRule, build_index, judge_urls, parse_rules
 
 PAGES = "page_id long, url string"
 
@@ -49,12 +49,52 @@ def test_urls(spark, url, expected):
 
 
 def test_url_rules_are_found_by_their_rarest_token(spark):
-    rules = [PatternRule("a", "x", "block", ("common", "rare")), PatternRule("b", "y", "block")]
+    rules = [PatternRule("^common^rare^"), PatternRule("y")]
     assert build_index(rules, {"common": 9, "rare": 1}) == {"rare": [0], "": [1]}
     pages = spark.createDataFrame([(1, "http://x.org/zebra", "h"), (1, "http://x.org/zebra", "h")], PAGES + ", host string")
-    found = judge_urls(pages, (), [PatternRule("z", "ze.ra", "block")]).collect()
-    assert [(r["page_id"], r["verdict"], r["pattern_rule"]) for r in found] == [(1, "block", "z")] * 2
+    found = judge_urls(pages, (), [PatternRule("/ze.ra/")]).collect()
+    assert [(r["page_id"], r["verdict"], r["pattern_rule"]) for r in found] == [(1, "block", "/ze.ra/")] * 2
     assert judge_urls(pages.limit(0), RULES).count() == 0 and judge_urls(pages, (), ()).count() == 2
+    assert judge_urls(pages, RULES, keep=("host", "page_id")).columns == ["host", "page_id", "host", "path", "rule", "verdict", "pattern_rule"]
+
+
+@pytest.mark.parametrize(
+    ("line", "tokens", "fits", "not_"),
+    [
+        ("||ads.", ("ads",), ["http://ads.x.org/", "https://a.ads.b/"], ["http://x.org/ads.", "http://myads.x/"]),
+        ("||x.org/a^", ("x", "org", "a"), ["http://x.org/a", "http://b.x.org/a?c"], ["http://x.org/ab", "http://xx.org/a"]),
+        ("/ad*s^", (), ["http://x/ads", "http://x/add/s"], ["http://x/s"]),
+        ("|http:*/track^*|", ("http", "track"), ["http://x/track/1"], ["https://x/track/1"]),
+        ("^a.b^c^", ("a", "b", "c"), ["http://x/a.b/c", "a.b?c"], ["http://x/a.bc", "http://x/aab/c"]),
+        (".gif|", (), ["http://x/y.gif"], ["http://x/y.gif?z"]),
+        ("|data|", ("data",), ["DATA"], ["data1"]),
+        ("@@^fine^", ("fine",), ["http://fine/"], ["http://finer/"]),
+    ],
+)
+def test_rule_syntax(line, tokens, fits, not_):
+    rule = PatternRule(line)
+    assert rule.tokens == tokens
+    held = lambda url: [t for t in rule.tokens if t not in regex.findall("[a-z0-9]+", url.lower())]
+    assert all(regex.search(rule.pattern, u.lower()) and not held(u) for u in fits) and not any(regex.search(rule.pattern, u.lower()) for u in not_)
+
+
+def test_any_number_of_rules_in_blocks(spark):
+    urls = [f"http://h{i}.example/p{i % 7}/q{i}" for i in range(300)] + ["http://H7.Example/p0", None, "x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), PAGES)
+    rules = parse_rules("\n".join(["! none", *(f"||h{i}.example/p{i % 5}^" for i in range(21_000)), "@@^q14^", "^q14^"]))
+    hosts = [HostRule(f"h{i}.example", "/p1/", "allow") for i in range(0, 300, 2)] + [HostRule("example", "/p1/", "block")]
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in judge_urls(pages, hosts, rules, block_rules=4000).collect()}
+
+    def expected(i):
+        at, path = (7, 0) if i == 300 else (i, i % 7)
+        if path == 1 and i < 300:
+            return (f"h{i}.example/p1/", "allow") if i % 2 == 0 else ("example/p1/", "block")
+        # The rule of host h<i> blocks /p<i % 5>; one with q14 is excepted.
+        return None, "block" if i <= 300 and path == at % 5 and i != 14 else "allow"
+
+    assert found == {i: expected(i) for i in range(len(urls))}
+    assert found[14][1] == "allow" and found[0][1] == "block"
+    assert sum(v == "block" for _, v in found.values()) > 30
 
 
 # --- packing ------------------------------------------------------------------
