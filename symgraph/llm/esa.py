@@ -18,9 +18,15 @@ class EnhancedSuffixArray:
     def __init__(self, octets: np.ndarray, ends: np.ndarray, starts: np.ndarray, depth: int):
         n = len(octets)
         left = ends - np.arange(n)
-        rank = np.where(left > 0, octets.astype(np.int64) + 1, 0)
-        self._levels = [(1, rank)]
-        width = 1
+        # Eight bytes from each position on as one number, zeros beyond the text's end.
+        word = np.zeros(n, dtype=np.uint64)
+        for back in range(8):
+            inside = left > back
+            word <<= np.uint64(8)
+            word[inside] |= octets[np.flatnonzero(inside) + back]
+        rank = np.unique(word, return_inverse=True)[1].astype(np.int64) + 1
+        self._levels = [(1 << k, word >> np.uint64(64 - (8 << k))) for k in range(3)] + [(8, rank)]
+        width = 8
         while width < int(left.max(initial=1)):
             second = np.zeros(n, dtype=np.int64)
             inside = np.flatnonzero(left > width)

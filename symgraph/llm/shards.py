@@ -10,7 +10,9 @@ Readers see the files of one version. Files that no kept version names are remov
 
 Paths go through Hadoop's file systems, so a store can be anywhere that Spark writes.
 Rows are moved by Spark only; the driver sees file names and sizes. A merge reads its runs
-and coalesces them to the number of target-sized files: no shuffle.
+in splits of the target size, small files packed together and large ones cut between row
+groups, and writes a file for each split: no shuffle, and no file above the target by more
+than a row group.
 
 Defined cases: an empty arrival adds nothing. Nulls, repeated rows and all columns are kept
 as they are; the first arrival fixes the schema, and an arrival with other columns is
@@ -144,8 +146,7 @@ class ShardStore:
         """Merge due tiers until none is due; each merge is a version of its own."""
         now = self.manifest()
         while now and (due := self._due(now.runs)):
-            files = max(1, -(-sum(r.size for r in due) // self.target_bytes))
-            merged = self._write(self._frame(due, now.schema).coalesce(files))
+            merged = self._write(self._frame(due, now.schema, self._splits()))
 
             def swap(m: Manifest, due=due, merged=merged):
                 if not set(due) <= set(m.runs):
@@ -169,10 +170,17 @@ class ShardStore:
             self._fs().delete(self._path(f"manifests/v{v:012d}.json"), False)
         return len(gone)
 
-    def _frame(self, runs: tuple[Run, ...], schema: str) -> DataFrame:
+    def _splits(self) -> SparkSession:
+        """A session of the same application that reads files in splits of the target size."""
+        session = self.spark.newSession()
+        for name, value in (("maxPartitionBytes", self.target_bytes), ("openCostInBytes", 0), ("minPartitionNum", 1)):
+            session.conf.set(f"spark.sql.files.{name}", str(value))
+        return session
+
+    def _frame(self, runs: tuple[Run, ...], schema: str, session: SparkSession | None = None) -> DataFrame:
         kind = StructType.fromJson(json.loads(schema))
         paths = [f"{self.root}/{f}" for r in runs for f in r.files]
-        return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
+        return (session or self.spark).read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, by default the last."""

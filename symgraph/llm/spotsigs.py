@@ -74,9 +74,14 @@ def signature_columns(df: DataFrame, chain: int = 3, **texts: str) -> DataFrame:
     return df
 
 
-def digest(signatures: Column) -> Column:
-    """The fingerprint as a string: equal for equal sets."""
-    return F.sha2(F.array_join(signatures.cast("array<string>"), ","), 256)
+def fingerprint(signatures: Column) -> Column:
+    """The set as a string: its signatures in order, 16 hexadecimal digits each. Its likeness to another can be told from both."""
+    return F.array_join(F.transform(signatures, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+
+
+def signatures_of(fingerprint: Column) -> Column:
+    """The signatures of a fingerprint, as strings."""
+    return F.regexp_extract_all(fingerprint, F.lit("[0-9a-f]{16}"), F.lit(0))
 
 
 def likeness(one: Column, other: Column) -> Column:
@@ -125,8 +130,8 @@ def compare_edits(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        digest(F.col("own")).alias("fingerprint"),
-        digest(F.col("changed")).alias("edited_fingerprint"),
+        fingerprint(F.col("own")).alias("fingerprint"),
+        fingerprint(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"),
         likeness(F.col("own"), F.col("following")).alias("near_next"),
     )

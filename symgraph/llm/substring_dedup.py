@@ -1,7 +1,7 @@
 """Suffix-array deduplication: bytes covered by strings of ``length`` bytes that start elsewhere too.
 
 The suffix array is sparse. In every window of ``length`` bytes the leftmost smallest hash
-of its ``gram``-byte substrings is the window's anchor; equal windows have equal anchors at
+(by its upper 32 bits) of its ``gram``-byte substrings is the window's anchor; equal windows have equal anchors at
 equal offsets, wherever they lie. Windows of a document that follow one another and share an
 anchor make a block, so a block's text starts at its first window and ends with its last.
 
@@ -18,7 +18,9 @@ anchor make a block, so a block's text starts at its first window and ends with
    Where that is still too many, the ranges of offsets are narrowed, down to one offset,
    where the core is the window itself and equal hashes are equal windows.
 
-Nothing is pairwise, no group is gathered whole, and no window is skipped.
+Nothing is pairwise, no group is gathered whole, and no window is skipped. Blocks count as
+equal if they agree in the 64-bit hashes of block and anchor; in the tree, as in step 5 down
+to single windows, bytes are compared as such or by 64-bit hashes of the same strings.
 
 Defined cases: a null text is empty. Strings never cross documents; positions are bytes of
 UTF-8. Rows that repeat, doc_id included, are documents of their own and repeat each other.
@@ -37,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.llm.common import written
+from symgraph.llm.common import join_classes, written
 from symgraph.llm.esa import EnhancedSuffixArray
 from symgraph.llm.xxh import remix
 
@@ -91,8 +93,7 @@ def cut_blocks(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray,
     if not windows.any():
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.int64),) * 2
     h = gram_hashes(np.frombuffer(data, np.uint8), gram)
-    bits = int(len(data)).bit_length()
-    low = np.uint64((1 << bits) - 1)
+    low = np.uint64((1 << 32) - 1)  # the anchor is the leftmost of the smallest upper halves, whatever else is in the batch
     best = window_minima((h & ~low) | np.arange(len(h), dtype=np.uint64), length - gram + 1)
     owner = np.repeat(np.arange(len(texts)), windows)
     first = np.repeat(ends - sizes, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -259,11 +260,12 @@ def _found(units: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 50, max_blocks: int = 4000) -> DataFrame:
     """Byte spans ``(doc_id, text_key, from, to)`` of ``docs(doc_id, text_key, body)`` covered by repeats."""
     blocks = written(_blocks(docs, length, gram), "blocks")
-    seen = written(blocks.groupBy("anchor_hash").count().where("count > 1").select("anchor_hash"), "anchors")
-    kept = written(blocks.join(seen, "anchor_hash"), "repeated-anchors")
+    many = F.count(F.lit(1)).alias("copies")
+    seen = written(blocks.groupBy("anchor_hash").agg(many).where("copies > 1"), "anchors")
+    kept = written(join_classes(blocks, seen, ["anchor_hash"]).drop("copies"), "repeated-anchors")
     one = F.struct("doc_id", "text_key", "first", "windows", "anchor")
-    classes = written(kept.groupBy("anchor_hash", "block_hash").agg(F.count(F.lit(1)).alias("copies"), F.min(one).alias("one")), "block-classes")
-    copied = kept.join(classes.where("copies > 1").select("anchor_hash", "block_hash"), ["anchor_hash", "block_hash"])
+    classes = written(kept.groupBy("anchor_hash", "block_hash").agg(many, F.min(one).alias("one")), "block-classes")
+    copied = join_classes(kept, classes.where("copies > 1").select("anchor_hash", "block_hash", "copies"), ["anchor_hash", "block_hash"])
     spans = copied.select("doc_id", "text_key", F.col("first").alias("from"), (F.col("first") + F.col("windows") + (length - 1)).alias("to"))
     mixed = written(classes.groupBy("anchor_hash").count().where("count > 1").select("anchor_hash"), "mixed-anchors")
     wanted = classes.join(mixed, "anchor_hash").select("anchor_hash", "one.*", (F.col("copies") == 1).alias("wanted"))
