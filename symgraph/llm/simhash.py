@@ -304,6 +304,72 @@ def _same_row(one: str, other: str) -> Column:
     return F.col(f"{one}.doc_id").eqNullSafe(F.col(f"{other}.doc_id")) & F.col(f"{one}.key").eqNullSafe(F.col(f"{other}.key"))
 
 
+def _crossing(size: np.ndarray, part: np.ndarray, fp: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float, most: int) -> np.ndarray:
+    """Whether pairs of rows are of different components, of near sizes, and differ in at most so many bits."""
+    small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+    near = (part[a] != part[b]) & (small >= threshold * large - 1e-9)
+    near[near] = np.bitwise_count(fp[a[near]] ^ fp[b[near]]).sum(axis=1, dtype=np.int64) <= most
+    return near
+
+
+def cross_pairs(members: DataFrame, nodes: DataFrame, threshold: float, most: int) -> DataFrame:
+    """``(src, dst)``: pairs of ``members(key, set_id, n, component)`` that share a key, are of different components and could be alike.
+
+    As in ``links``, a long list is dealt out as pairs of blocks, which are compared in memory;
+    only pairs that pass the sieve of sizes and fingerprints leave the task.
+    """
+    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("int").alias("blocks"))
+    placed = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), "block", "set_id", "n", "component")
+    dealt = dealt.join(nodes.select("set_id", "fp"), "set_id").repartition("key", "lower", "upper").sortWithinPartitions("key", "lower", "upper", "block", "set_id")
+    names = ["key", "lower", "upper", "block", "set_id", "n", "component"]
+
+    def pairs_of(table: pa.Table) -> pa.RecordBatch:
+        key, lower, upper, block, ids, size, part = (table.column(c).to_numpy() for c in names)
+        fp = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column("fp").chunks]).view(np.uint64).reshape(table.num_rows, -1)
+        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (lower[1:] != lower[:-1]) | (upper[1:] != upper[:-1])])
+        sizes = np.diff(np.r_[new, len(key)])
+        group = np.repeat(np.arange(len(new)), sizes)
+        src, dst = [], []
+
+        def add(a: np.ndarray, b: np.ndarray) -> None:
+            hit = _crossing(size, part, fp, a, b, threshold, most)
+            src.append(ids[a[hit]])
+            dst.append(ids[b[hit]])
+
+        for lag in range(1, _SMALL):
+            a = np.flatnonzero((group[:-lag] == group[lag:]) & (sizes <= _SMALL)[group[:-lag]])
+            add(a, a + lag)
+        for g in np.flatnonzero(sizes > _SMALL).tolist():
+            lo, hi = int(new[g]), int(new[g] + sizes[g])
+            for at in range(lo, hi - 1):
+                # Within a block all later rows; of two blocks, those of the other one.
+                others = np.arange(at + 1, hi)
+                if lower[at] != upper[at]:
+                    others = others[block[others] != block[at]]
+                if len(others):
+                    add(np.full(len(others), at), others)
+        src, dst = np.concatenate(src), np.concatenate(dst)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(src, dst)), pa.array(np.maximum(src, dst))], names=["src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if carry is None else pa.concat_tables([carry, table])
+            key, lower, upper = (table.column(c).to_numpy() for c in names[:3])
+            other = np.flatnonzero((key != key[-1]) | (lower != lower[-1]) | (upper != upper[-1])) if len(key) else np.zeros(0, int)
+            whole = int(other[-1]) + 1 if len(other) else 0
+            if whole:
+                yield pairs_of(table.slice(0, whole))
+            carry = table.slice(whole)
+        if carry is not None and carry.num_rows:
+            yield pairs_of(carry)
+
+    return dealt.select(*names, "fp").mapInArrow(run, "src long, dst long")
+
+
 def wide_near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 8, threshold: float = 0.8, max_differing: float = 0.3) -> DataFrame:
     """``(doc_id, key, component)``: rows linked by a Jaccard similarity of ``threshold`` of their shingles.
 
@@ -328,7 +394,8 @@ def wide_near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 8, thresh
         texts = rows.alias("r").join(_small(ends, ends.count()).alias("e"), _same_row("r", "e")).select("e.set_id", "r.text")
         return jaccard_links(close, written(shingle_sets(texts, words), "shingles").dropDuplicates(["set_id"]), threshold)
 
-    classes = similar_sets(nodes, alike, threshold).withColumnRenamed("id", "set_id")
+    cross = lambda members: cross_pairs(members, nodes, threshold, most)
+    classes = similar_sets(nodes, alike, cross, threshold).withColumnRenamed("id", "set_id")
     return found.select("doc_id", "key", "set_id").join(classes, "set_id", "left").select("doc_id", "key", F.coalesce("component", "set_id").alias("component"))
 
 

@@ -235,7 +235,26 @@ def test_suffix_array_and_intervals():
     assert found == maximal
 
 
-def test_wide_classes_are_those_of_exact_likeness(spark):
+def test_cross_pairs_are_complete(spark, monkeypatch):
+    from symgraph.llm import simhash as module
+
+    monkeypatch.setattr(module, "_BLOCK", 9)
+    chosen = random.Random(4)
+    rows = [(i, chosen.randint(80, 120), chosen.randint(0, 3), [chosen.getrandbits(5), chosen.getrandbits(5)]) for i in range(120)]
+    lists = [(i % 2, i) for i in range(60)] + [(7, i) for i in range(120)] + [(9, 3), (9, 4)]
+    nodes = spark.createDataFrame([(i, fp) for i, _, _, fp in rows], "set_id long, fp array<long>")
+    members = spark.createDataFrame([(k, i, rows[i][1], rows[i][2]) for k, i in lists], "key long, set_id long, n int, component long")
+    found = {tuple(r) for r in module.cross_pairs(members, nodes, 0.8, 3).collect()}
+    bits = lambda a, b: sum(bin(x ^ y).count("1") for x, y in zip(rows[a][3], rows[b][3], strict=True))
+    fits = lambda a, b: rows[a][2] != rows[b][2] and min(rows[a][1], rows[b][1]) >= 0.8 * max(rows[a][1], rows[b][1]) and bits(a, b) <= 3
+    assert found == {(a, b) for a in range(120) for b in range(a + 1, 120) if fits(a, b)} and len(found) > 100
+
+
+@pytest.mark.parametrize("block", [2048, 5])
+def test_wide_classes_are_those_of_exact_likeness(spark, monkeypatch, block):
+    from symgraph.llm import simhash as module
+
+    monkeypatch.setattr(module, "_BLOCK", block)
     texts, held = [], []
     for i in range(120):
         base = prose(700 + i % 40, 100 + 5 * (i % 40)).split()
