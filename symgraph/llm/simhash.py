@@ -26,7 +26,7 @@ through ``one_of_each``, whatever their names. An empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -43,6 +43,7 @@ from symgraph.llm.xxh import majority_bits, remix, xxh64_slices
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _CHUNK = 1 << 21  # bytes of text hashed together
 _BLOCK = 2048  # members of a posting list that are compared with one another in a task
+_ELEMENTS = 1 << 20  # shingles of a block whose sets are compared
 _SMALL = 12  # posting lists up to this length are compared together
 
 #: Quadruples of the eight byte positions whose numbers XOR to zero.
@@ -312,45 +313,25 @@ def _crossing(size: np.ndarray, part: np.ndarray, fp: np.ndarray, a: np.ndarray,
     return near
 
 
-def cross_pairs(members: DataFrame, nodes: DataFrame, threshold: float, most: int) -> DataFrame:
-    """``(src, dst)``: pairs of ``members(key, set_id, n, component)`` that share a key, are of different components and could be alike.
+_CELL = ["key", "lower", "upper", "block", "set_id", "n", "component"]
 
-    As in ``links``, a long list is dealt out as pairs of blocks, which are compared in memory;
-    only pairs that pass the sieve of sizes and fingerprints leave the task.
-    """
-    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("int").alias("blocks"))
+
+def _dealt(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``members(key, set_id, n, component)`` with fingerprints, each list as pairs of blocks of bounded size."""
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / _BLOCK), F.ceil(F.sum("n") / _ELEMENTS))
+    blocks = members.groupBy("key").agg(size.cast("int").alias("blocks"))
     placed = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), "block", "set_id", "n", "component")
-    dealt = dealt.join(nodes.select("set_id", "fp"), "set_id").repartition("key", "lower", "upper").sortWithinPartitions("key", "lower", "upper", "block", "set_id")
-    names = ["key", "lower", "upper", "block", "set_id", "n", "component"]
-
-    def pairs_of(table: pa.Table) -> pa.RecordBatch:
-        key, lower, upper, block, ids, size, part = (table.column(c).to_numpy() for c in names)
-        fp = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column("fp").chunks]).view(np.uint64).reshape(table.num_rows, -1)
-        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (lower[1:] != lower[:-1]) | (upper[1:] != upper[:-1])])
-        sizes = np.diff(np.r_[new, len(key)])
-        group = np.repeat(np.arange(len(new)), sizes)
-        src, dst = [], []
+    return dealt.join(nodes.select("set_id", "fp"), "set_id")
 
-        def add(a: np.ndarray, b: np.ndarray) -> None:
-            hit = _crossing(size, part, fp, a, b, threshold, most)
-            src.append(ids[a[hit]])
-            dst.append(ids[b[hit]])
 
-        for lag in range(1, _SMALL):
-            a = np.flatnonzero((group[:-lag] == group[lag:]) & (sizes <= _SMALL)[group[:-lag]])
-            add(a, a + lag)
-        for g in np.flatnonzero(sizes > _SMALL).tolist():
-            lo, hi = int(new[g]), int(new[g] + sizes[g])
-            for at in range(lo, hi - 1):
-                # Within a block all later rows; of two blocks, those of the other one.
-                others = np.arange(at + 1, hi)
-                if lower[at] != upper[at]:
-                    others = others[block[others] != block[at]]
-                if len(others):
-                    add(np.full(len(others), at), others)
-        src, dst = np.concatenate(src), np.concatenate(dst)
+def _in_cells(dealt: DataFrame, columns: list[str], links_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``(src, dst)`` that ``links_of`` gives for runs of whole cells: the members of a pair of blocks."""
+    rows = dealt.repartition("key", "lower", "upper").sortWithinPartitions("key", "lower", "upper", "block", "set_id")
+
+    def batch_of(table: pa.Table) -> pa.RecordBatch:
+        src, dst = links_of(table)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(src, dst)), pa.array(np.maximum(src, dst))], names=["src", "dst"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,16 +339,102 @@ def cross_pairs(members: DataFrame, nodes: DataFrame, threshold: float, most: in
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = table if carry is None else pa.concat_tables([carry, table])
-            key, lower, upper = (table.column(c).to_numpy() for c in names[:3])
+            key, lower, upper = (table.column(c).to_numpy() for c in _CELL[:3])
             other = np.flatnonzero((key != key[-1]) | (lower != lower[-1]) | (upper != upper[-1])) if len(key) else np.zeros(0, int)
             whole = int(other[-1]) + 1 if len(other) else 0
             if whole:
-                yield pairs_of(table.slice(0, whole))
+                yield batch_of(table.slice(0, whole))
             carry = table.slice(whole)
         if carry is not None and carry.num_rows:
-            yield pairs_of(carry)
+            yield batch_of(carry)
+
+    return rows.select(*_CELL, *columns).mapInArrow(run, "src long, dst long")
+
+
+def _flat(table: pa.Table, column: str) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column(column).chunks])
+
+
+def _cells_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Where cells begin, and how many rows they have."""
+    key, lower, upper = (table.column(c).to_numpy() for c in _CELL[:3])
+    new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (lower[1:] != lower[:-1]) | (upper[1:] != upper[:-1])])
+    return new, np.diff(np.r_[new, len(key)])
+
 
-    return dealt.select(*names, "fp").mapInArrow(run, "src long, dst long")
+def _spanning(part: np.ndarray, block: np.ndarray, split: bool, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Fewest links by which ``near`` pairs of a cell join its parts; pairs that are joined already are not looked at."""
+    root, found = part.copy(), []
+    for at in range(len(root) - 1):
+        others = np.arange(at + 1, len(root))
+        # Of two blocks, members meet those of the other one.
+        others = others[(root[others] != root[at]) & ((block[others] != block[at]) if split else True)]
+        hit = others[near(at, others)] if len(others) else others
+        if len(hit):
+            joined, pick = np.unique(root[hit], return_index=True)
+            found += [(at, int(x)) for x in hit[pick]]
+            root[np.isin(root, joined)] = root[at]
+    return found
+
+
+def possible_links(members: DataFrame, nodes: DataFrame, threshold: float, most: int) -> DataFrame:
+    """``(src, dst)``: components of ``members(key, set_id, n, component)`` that share a key and could be alike, as forests.
+
+    Components are joined where two of their sets pass the sieve of sizes and fingerprints.
+    What leaves a task grows with the members of a list, not with their pairs.
+    """
+
+    def links_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        lower, upper, block, _, size, part = (table.column(c).to_numpy() for c in _CELL[1:])
+        fp = _flat(table, "fp").view(np.uint64).reshape(table.num_rows, -1)
+        new, sizes = _cells_of(table)
+        group = np.repeat(np.arange(len(new)), sizes)
+        src, dst = [], []
+        for lag in range(1, _SMALL):
+            a = np.flatnonzero((group[:-lag] == group[lag:]) & (sizes <= _SMALL)[group[:-lag]])
+            a = a[_crossing(size, part, fp, a, a + lag, threshold, most)]
+            src.append(part[a])
+            dst.append(part[a + lag])
+        for g in np.flatnonzero(sizes > _SMALL).tolist():
+            lo, hi = int(new[g]), int(new[g] + sizes[g])
+            near = lambda at, others, lo=lo: _crossing(size, part, fp, np.full(len(others), lo + at), lo + others, threshold, most)
+            found = np.array(_spanning(part[lo:hi], block[lo:hi], lower[lo] != upper[lo], near), dtype=np.int64).reshape(-1, 2)
+            src.append(part[lo + found[:, 0]])
+            dst.append(part[lo + found[:, 1]])
+        return np.concatenate(src), np.concatenate(dst)
+
+    return _in_cells(_dealt(members, nodes), ["fp"], links_of)
+
+
+def verified_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, most: int) -> DataFrame:
+    """``(src, dst)``: sets of ``members(key, set_id, n, component)`` by whose Jaccard similarity components of a key are joined."""
+
+    def links_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        lower, upper, block, ids, size, part = (table.column(c).to_numpy() for c in _CELL[1:])
+        fp = _flat(table, "fp").view(np.uint64).reshape(table.num_rows, -1)
+        elements = _flat(table, "elements")
+        ends = np.cumsum(size.astype(np.int64))
+        begins = ends - size
+        src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, held in zip(*(x.tolist() for x in _cells_of(table)), strict=True):
+
+            def near(at: int, others: np.ndarray, lo: int = lo) -> np.ndarray:
+                could = _crossing(size, part, fp, np.full(len(others), lo + at), lo + others, threshold, most)
+                rows = lo + others[could]
+                if len(rows):
+                    own = elements[begins[lo + at] : ends[lo + at]]
+                    starts = np.cumsum(size[rows], dtype=np.int64) - size[rows]
+                    theirs = elements[np.repeat(begins[rows] - starts, size[rows]) + np.arange(size[rows].sum())]
+                    shared = np.add.reduceat(own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs, starts, dtype=np.int64)
+                    could[could] = shared >= (threshold - 1e-9) * (len(own) + size[rows] - shared)
+                return could
+
+            found = np.array(_spanning(part[lo : lo + held], block[lo : lo + held], lower[lo] != upper[lo], near), dtype=np.int64).reshape(-1, 2)
+            src.append(ids[lo + found[:, 0]])
+            dst.append(ids[lo + found[:, 1]])
+        return np.concatenate(src), np.concatenate(dst)
+
+    return _in_cells(_dealt(members, nodes).join(sets, "set_id"), ["fp", "elements"], links_of)
 
 
 def wide_near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 8, threshold: float = 0.8, max_differing: float = 0.3) -> DataFrame:
@@ -384,17 +451,26 @@ def wide_near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 8, thresh
     nodes = written(found.dropDuplicates(["set_id"]), "distinct-sets")
     most = int(64 * lanes * max_differing)
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """The shingles of the sets in ``ids(set_id)``, from their texts."""
+        ends = written(nodes.join(ids, "set_id").select("set_id", "doc_id", "key"), "close-sets")
+        texts = rows.alias("r").join(_small(ends, ends.count()).alias("e"), _same_row("r", "e")).select("e.set_id", "r.text")
+        return written(shingle_sets(texts, words), "shingles").dropDuplicates(["set_id"])
+
     def alike(pairs: DataFrame) -> DataFrame:
         for end in ("src", "dst"):
             pairs = pairs.join(nodes.select(F.col("set_id").alias(end), F.col("fp").alias(f"fp_{end}")), end)
         bits = F.aggregate(F.zip_with("fp_src", "fp_dst", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
         close = written(pairs.where(bits <= most).select("src", "dst"), "close-pairs")
-        ends = close.select(F.explode(F.array("src", "dst")).alias("set_id")).distinct()
-        ends = written(nodes.join(ends, "set_id").select("set_id", "doc_id", "key"), "close-sets")
-        texts = rows.alias("r").join(_small(ends, ends.count()).alias("e"), _same_row("r", "e")).select("e.set_id", "r.text")
-        return jaccard_links(close, written(shingle_sets(texts, words), "shingles").dropDuplicates(["set_id"]), threshold)
+        return jaccard_links(close, sets_of(close.select(F.explode(F.array("src", "dst")).alias("set_id")).distinct()), threshold)
+
+    def cross(members: DataFrame) -> DataFrame:
+        possible = written(possible_links(members, nodes, threshold, most).distinct(), "possible-links")
+        families = connected_components(possible).select(F.col("id").alias("component"), F.col("component").alias("key"))
+        meeting = members.select("set_id", "n", "component").distinct().join(families, "component")
+        meeting = written(meeting.select("key", "set_id", "n", "component"), "families")
+        return verified_links(meeting, nodes, sets_of(meeting.select("set_id")), threshold, most)
 
-    cross = lambda members: cross_pairs(members, nodes, threshold, most)
     classes = similar_sets(nodes, alike, cross, threshold).withColumnRenamed("id", "set_id")
     return found.select("doc_id", "key", "set_id").join(classes, "set_id", "left").select("doc_id", "key", F.coalesce("component", "set_id").alias("component"))
 

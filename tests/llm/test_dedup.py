@@ -235,19 +235,39 @@ def test_suffix_array_and_intervals():
     assert found == maximal
 
 
-def test_cross_pairs_are_complete(spark, monkeypatch):
+def joined(pairs, nodes):
+    """The smallest node that each node reaches."""
+    leader = {n: n for n in nodes}
+    for _ in leader:
+        for a, b in pairs:
+            leader[a] = leader[b] = min(leader[a], leader[b])
+    return leader
+
+
+@pytest.mark.parametrize("block", [2048, 9])
+def test_forests_join_what_all_pairs_join(spark, monkeypatch, block):
     from symgraph.llm import simhash as module
 
-    monkeypatch.setattr(module, "_BLOCK", 9)
+    monkeypatch.setattr(module, "_BLOCK", block)
     chosen = random.Random(4)
-    rows = [(i, chosen.randint(80, 120), chosen.randint(0, 3), [chosen.getrandbits(5), chosen.getrandbits(5)]) for i in range(120)]
-    lists = [(i % 2, i) for i in range(60)] + [(7, i) for i in range(120)] + [(9, 3), (9, 4)]
-    nodes = spark.createDataFrame([(i, fp) for i, _, _, fp in rows], "set_id long, fp array<long>")
-    members = spark.createDataFrame([(k, i, rows[i][1], rows[i][2]) for k, i in lists], "key long, set_id long, n int, component long")
-    found = {tuple(r) for r in module.cross_pairs(members, nodes, 0.8, 3).collect()}
-    bits = lambda a, b: sum(bin(x ^ y).count("1") for x, y in zip(rows[a][3], rows[b][3], strict=True))
-    fits = lambda a, b: rows[a][2] != rows[b][2] and min(rows[a][1], rows[b][1]) >= 0.8 * max(rows[a][1], rows[b][1]) and bits(a, b) <= 3
-    assert found == {(a, b) for a in range(120) for b in range(a + 1, 120) if fits(a, b)} and len(found) > 100
+    sets = [sorted(chosen.sample(range(60), chosen.randint(30, 40))) for _ in range(40)]
+    sets += [sorted({*chosen.sample(s, len(s) - chosen.randint(1, 4)), 70 + i}) for i, s in enumerate(sets)]
+    n, parts = len(sets), [i % 40 if i % 5 == 0 else i for i in range(len(sets))]
+    fps = [[chosen.getrandbits(5), chosen.getrandbits(5)] for _ in sets]
+    lists = [(i % 2, i) for i in range(40)] + [(7, i) for i in range(n)] + [(9, 3), (9, 4)]
+    nodes = spark.createDataFrame(list(enumerate(fps)), "set_id long, fp array<long>")
+    members = spark.createDataFrame([(k, i, len(sets[i]), parts[i]) for k, i in lists], "key long, set_id long, n int, component long")
+    bits = lambda a, b: sum(bin(x ^ y).count("1") for x, y in zip(fps[a], fps[b], strict=True))
+    fits = [(a, b) for a in range(n) for b in range(a) if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and bits(a, b) <= 2]
+    found = [tuple(r) for r in module.possible_links(members, nodes, 0.8, 2).collect()]
+    assert joined(found, set(parts)) == joined([(parts[a], parts[b]) for a, b in fits], set(parts))
+    jaccard = lambda a, b: len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]})
+    alike = [(a, b) for a in range(n) for b in range(a) if jaccard(a, b) >= 0.8]
+    held = spark.createDataFrame(list(enumerate(sets)), "set_id long, elements array<long>")
+    found = [tuple(r) for r in module.verified_links(members, nodes, held, 0.8, 128).collect()]
+    assert {(max(x), min(x)) for x in found} <= set(alike) and len(alike) >= 30
+    own = [(i, p) for i, p in enumerate(parts)]
+    assert joined(found + own, range(n)) == joined(alike + own, range(n))
 
 
 @pytest.mark.parametrize("block", [2048, 5])
