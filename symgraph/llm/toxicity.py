@@ -130,7 +130,7 @@ def signs_of(text: str, lexicon: Lexicon) -> Signs:
         if kind is not None:
             seeds[kind] += n
         company += n * (word in lexicon.company)
-    shouted = sum(len(w) > 1 and w.isupper() for w in text.split()) if any(map(str.isupper, text[1:2])) else 0
+    shouted = sum(len(w) > 1 and w.isupper() for w in text.split())
     addressed = any(seeds) and any(w in _SEED_KIND and not ADDRESS.isdisjoint(words[max(i - 4, 0) : i]) for i, w in enumerate(words))
     masked = any(c in text for c in "*#@$%") and _MASKED.search(text) is not None
     return Signs(terms, hits, seeds, company, len(words), shouted, text.count("!"), masked, _STRETCHED.search(text) is not None, addressed)

@@ -294,6 +294,14 @@ def test_voters_of_other_origin():
     assert cast("WHAT IS ALL THIS!!! NOISE!!! NOW!!!")["shouted"] == 1 == cast("a b c d e!!!")["marks"]
 
 
+def test_shouting_is_looked_for_in_whole_texts():
+    plain = toxicity.Lexicon()
+    loud = [toxicity.signs_of(t, plain) for t in ("so WHAT IS ALL THIS NOISE", "\u00abWHAT IS THIS NOISE NOW", "I AM NOT GOING THERE", "quiet " * 500 + "LOUD " * 400)]
+    assert [s.shouted for s in loud] == [5, 5, 4, 400]
+    assert all(toxicity.votes_of(s)[toxicity.VOTERS.index("shouted")] == 1 for s in loud)
+    assert toxicity.signs_of("WHat a Fine Day it is, I say", plain).shouted == 0
+
+
 # --- decontamination ----------------------------------------------------------
 
 
