@@ -14,8 +14,8 @@ characters are scored. Sums over the parts are exact.
 A text gets the language of the lowest cross-entropy per character. The score is the chance
 that this is right, from a logistic calibration over the margin to the second language, the
 length, and by how much the entropy is above what the language's own texts have. It is
-fitted on training documents that a second model, of the same counts without them, has not
-seen: as they are, and as texts of a language that no model knows, for which the document's
+fitted on all the training documents that a second model, of the same counts without them, has
+not seen: as they are, and as texts of a language that no model knows, for which the document's
 own is left out. Predictions below ``reject_below`` are marked as not accepted; other
 scripts and noise end there.
 
@@ -32,6 +32,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -194,8 +195,12 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return both
 
 
-def _points(grams: list[str], size: int) -> np.ndarray:
-    return np.frombuffer("".join(grams).encode("utf-32-le"), "<u4").reshape(-1, size)
+def _points(grams: pa.ChunkedArray, size: int) -> np.ndarray:
+    """Code points of n-grams of one size, without a Python object for each."""
+    held = pa.concat_arrays(grams.cast(pa.string()).chunks)
+    ends = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1]
+    text = held.buffers()[2][int(ends[0]) : int(ends[-1])].to_pybytes().decode()
+    return np.frombuffer(text.encode("utf-32-le"), "<u4").reshape(-1, size)
 
 
 @dataclass
@@ -267,24 +272,25 @@ class Model:
     def part(self, number: int) -> Part:
         """A part's arrays, from its share of the table (of a bounded size)."""
         own, slices, slice_ = self.shares[number]
-        names = {self.languages[i]: k for k, i in enumerate(own)}
-        rows = self.table.where(F.col("lang").isin(list(names)))
+        names = [self.languages[i] for i in own]
+        rows = self.table.where(F.col("lang").isin(names))
         if slices > 1:
             rows = rows.where(F.col("is_context") | (F.pmod(F.ascii(F.substring("gram", -1, 1)), F.lit(slices)) == slice_))
-        data = rows.select("size", "is_context", "lang", "gram", F.col("value").cast("float").alias("value")).toPandas()
+        number = (F.array_position(F.array(*map(F.lit, names)), F.col("lang")) - 1).cast("int").alias("number")
+        data = rows.select("size", "is_context", number, "gram", F.col("value").cast("float").alias("value")).toArrow()
         empty = (np.zeros(0, np.int64), np.zeros((0, len(own)), np.float32))
         grams, contexts, below = [], [], None
         for size in range(1, ORDERS + 1):
             found = {}
             for is_context, width in ((True, size - 1), (False, size)):
-                of = data[(data["size"] == size) & (data["is_context"] == is_context)]
-                if not width or not len(of):
+                of = data.filter((pc.field("size") == size) & (pc.field("is_context") == is_context))
+                if not width or not of.num_rows:
                     found[is_context] = (*empty, np.zeros((0, max(width, 1)), np.uint32))
                     continue
-                texts, number_of = np.unique(of["gram"].to_numpy(str), return_inverse=True)
-                points = _points(texts.tolist(), width)
+                texts, number_of = np.unique(_points(of["gram"], width).view(f"<U{width}").ravel(), return_inverse=True)
+                points = texts.view("<u4").reshape(-1, width)
                 values = np.full((len(texts), len(own)), np.nan, np.float32)
-                values[number_of, of["lang"].map(names).to_numpy()] = of["value"].to_numpy()
+                values[number_of, of["number"].to_numpy()] = of["value"].to_numpy()
                 keys = _keys_of(points)
                 order = np.argsort(keys)
                 found[is_context] = (keys[order], values[order], points[order])
@@ -378,25 +384,32 @@ def _unsummed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), nothing.cast("array<double>").alias("sums"), nothing.cast("long").alias("n"), nothing.cast("boolean").alias("lettered"))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights of a logistic regression by Newton's method."""
-    w = np.zeros(x.shape[1])
+def _logistic(rows: DataFrame, size: int, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a logistic regression of ``rows(x array<double>, y)`` by Newton's method, each step a sum over all rows."""
+    w, pairs = np.zeros(size), [(i, j) for i in range(size) for j in range(i + 1)]
+    x = [F.col("x")[i] for i in range(size)]
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + ridge * w
-        bend = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(bend, slope)
+        margin = sum((c * float(v) for c, v in zip(x, w, strict=True)), F.lit(0.0))
+        given = rows.withColumn("p", 1 / (1 + F.exp(-F.least(F.greatest(margin, F.lit(-30.0)), F.lit(30.0)))))
+        slopes = [F.sum((F.col("p") - F.col("y")) * c) for c in x]
+        bends = [F.sum(F.col("p") * (1 - F.col("p")) * x[i] * x[j]) for i, j in pairs]
+        sums = np.array(given.agg(*slopes, *bends).first(), float)
+        bend = ridge * np.eye(size)
+        for (i, j), value in zip(pairs, sums[size:], strict=True):
+            bend[i, j] += value
+            bend[j, i] = bend[i, j]
+        step = np.linalg.solve(bend, sums[:size] + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
-    return w
+    return np.round(w, 9)  # the order of the sums may differ from run to run
 
 
-def train(docs: DataFrame, training: Column, calibration: Column, sample: int = 3000, part_entries: int = PART_ENTRIES) -> Model | None:
+def train(docs: DataFrame, training: Column, calibration: Column, part_entries: int = PART_ENTRIES) -> Model | None:
     """A model of the rows of ``docs(doc_id, text, lang)`` where ``training`` holds.
 
-    ``calibration`` marks the training rows that the calibrating model does not count; at
-    most ``sample`` of them, those of the smallest hashes, are scored to calibrate.
+    ``calibration`` marks the training rows that the calibrating model does not count; all of
+    them are scored to calibrate.
     """
     known = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = written(count_ngrams(known.select("text", "lang", (~calibration).alias("fit"))), "gram-counts")
@@ -405,42 +418,63 @@ def train(docs: DataFrame, training: Column, calibration: Column, sample: int =
     model, partial = (build_model(tables.where(F.col("model") == name), part_entries) for name in ("all", "fit"))
     if model is None or partial is None:
         return model
-    # Ids first: what the tasks send to be ordered then holds no texts.
-    chosen = known.where(calibration).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    chosen = known.join(F.broadcast(written(chosen, "calibration-sample")), "doc_id")
     # ``doc_id`` carries the language's number through the passes.
     number = F.array_position(F.array(*map(F.lit, partial.languages)), F.col("lang")) - 1
-    rows = _summed(_unsummed(chosen.select(number.alias("doc_id"), "text")), partial).select("doc_id", "sums", "n").where("n > 1").limit(2 * sample).collect()
-    return calibrated(model, partial, rows) if rows else model
+    rows = _summed(_unsummed(known.where(calibration).select(number.alias("doc_id"), "text")), partial)
+    return calibrated(model, partial, written(rows.select("doc_id", "sums", "n").where("n > 1"), "calibration-sums"))
 
 
-def calibrated(model: Model, partial: Model, rows: list) -> Model:
-    """``model`` with the calibration that ``rows(doc_id, sums, n)``, scored by ``partial``, give; doc_id is the language's number."""
-    n = np.array([r["n"] for r in rows], float)
-    truth = np.array([r["doc_id"] for r in rows])
-    entropy = -np.array([r["sums"] for r in rows]) / n[:, None]
-    right = entropy.argmin(axis=1) == truth
-    every = entropy.min(axis=1)[right].max() if right.any() else entropy.min()  # for a language without such documents
+def calibrated(model: Model, partial: Model, rows: DataFrame) -> Model:
+    """``model`` with the calibration that ``rows(doc_id, sums, n)``, scored by ``partial``, give; doc_id is the language's number.
+
+    All rows count; what reaches the driver is one row for each language, and sums.
+    """
+    found = rows.select("doc_id", "n", F.transform("sums", lambda x: -x / F.col("n")).alias("entropy")).withColumn("lowest", F.array_min("entropy"))
+    right = F.array_position("entropy", F.col("lowest")) - 1 == F.col("doc_id")
+    own = lambda column: F.when(right, column)
+    by_language = found.groupBy("doc_id").agg(
+        F.sum(own(F.col("lowest") * F.col("n"))).alias("sum"), F.sum(own(F.col("n"))).alias("n"), F.max(own(F.col("lowest"))).alias("highest"), F.min("lowest").alias("lowest")
+    )
+    facts = by_language.collect()
+    if not facts:
+        return model
+    highest = [r["highest"] for r in facts if r["highest"] is not None]
+    every = max(highest) if highest else min(r["lowest"] for r in facts)  # for a language without such documents
     usual = np.full(len(partial.languages), every)
-    for i in range(len(usual)):
-        own = right & (truth == i)
-        if own.any():
-            usual[i] = np.average(entropy[own, i], weights=n[own])
+    for r in facts:
+        if r["n"]:
+            usual[r["doc_id"]] = round(r["sum"] / r["n"], 9)
     partial = replace(partial, usual=usual)
-    _, margin, _, excess = partial.judge(entropy, n)
-    signs, target = [Model.signs(margin, n, excess)], [right.astype(float)]
-    if len(usual) > 1:
-        # As if the document's own language had no model.
-        apart = entropy.copy()
-        apart[np.arange(len(n)), np.maximum(truth, 0)] = np.inf
-        best, ranked = apart.argmin(axis=1), np.sort(apart, axis=1)
-        second = ranked[:, 1] if len(usual) > 2 else ranked[:, 0] + margin
-        signs.append(Model.signs(second - ranked[:, 0], n, np.maximum(ranked[:, 0] - usual[best], 0)))
-        target.append(np.zeros(len(n)))
-    weights = _logistic(np.concatenate(signs), np.concatenate(target))
-    limit = 1.5 * float(np.max((excess * np.sqrt(n))[right], initial=0)) + 1
+    rules = replace(partial, table=None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            truth, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            n = n.astype(float)
+            entropy = -np.array(batch.column(1).to_pylist()) / n[:, None]
+            best, margin, _, excess = rules.judge(entropy, n)
+            right = best == truth
+            signs, target = [Model.signs(margin, n, excess)], [right.astype(float)]
+            reach = [np.where(right, excess * np.sqrt(n), 0)]
+            if len(usual) > 1:
+                # As if the document's own language had no model.
+                apart = entropy.copy()
+                apart[np.arange(len(n)), np.maximum(truth, 0)] = np.inf
+                best, ranked = apart.argmin(axis=1), np.sort(apart, axis=1)
+                second = ranked[:, 1] if len(usual) > 2 else ranked[:, 0] + margin
+                signs.append(Model.signs(second - ranked[:, 0], n, np.maximum(ranked[:, 0] - usual[best], 0)))
+                target.append(np.zeros(len(n)))
+                reach.append(np.zeros(len(n)))
+            x = np.concatenate(signs)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([lists, pa.array(np.concatenate(target)), pa.array(np.concatenate(reach))], names=["x", "y", "reach"])
+
+    signs = written(rows.select("doc_id", "sums", "n").mapInArrow(run, "x array<double>, y double, reach double"), "calibration-signs")
+    limit = 1.5 * signs.agg(F.max("reach")).first()[0] + 1
     named = dict(zip(partial.languages, usual, strict=True))
-    return replace(model, usual=np.array([named.get(x, every) for x in model.languages]), weights=tuple(weights), limit=limit)
+    return replace(model, usual=np.array([named.get(x, every) for x in model.languages]), weights=tuple(_logistic(signs, len(model.weights))), limit=limit)
 
 
 def identify(docs: DataFrame, model: Model | None, reject_below: float = 0.5) -> DataFrame:

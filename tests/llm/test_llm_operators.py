@@ -162,6 +162,33 @@ def test_language_model(spark, two_languages, odd):
     assert {r["lang_pred"] for r in langid.identify(frame(spark, own[:1]), langid.train(copies, part != 2, part == 0)).collect()} == {"aa"}
 
 
+def test_calibration_counts_every_document(spark):
+    rows = [(i, prose(i, 2 + i % 5, ("abcdefg", "efghijkl", "cdefghi")[i % 3]), ("xx", "yy", "zz")[i % 3]) for i in range(3900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    apart = F.col("doc_id") % 20 != 0  # 3,705 documents, of which the calibrating model counts none
+    model = langid.train(docs, F.lit(True), apart)
+    counts = langid.count_ngrams(docs.select("text", "lang", F.lit(True).alias("fit"), "doc_id").where(~apart))
+    partial = langid.build_model(langid.kneser_ney(counts.select(F.lit("fit").alias("model"), "lang", "gram", "n")))
+    scored = langid._summed(langid._unsummed(docs.where(apart)), partial).collect()
+    assert len(scored) == 3705
+    n = np.array([r["n"] for r in scored], float)
+    entropy, truth = -np.array([r["sums"] for r in scored]) / n[:, None], np.array([r["doc_id"] % 3 for r in scored])
+    right = entropy.argmin(axis=1) == truth
+    usual = np.array([np.average(entropy[right & (truth == k), k], weights=n[right & (truth == k)]) for k in range(3)])
+    assert np.allclose(model.usual, usual, rtol=1e-7) and 0.5 < right.mean() < 1
+    x, y, reach = [], [], 0
+    for h, size, k in zip(entropy, n, truth, strict=True):
+        for known in (range(3), [j for j in range(3) if j != k]):  # then as if its own language had no model
+            order = sorted(known, key=lambda j: h[j])
+            over = max(h[order[0]] - usual[order[0]], 0)
+            x.append([1, np.sqrt((h[order[1]] - h[order[0]]) * size), np.log1p(size), over * np.sqrt(size), over])
+            y.append(float(order[0] == k))
+            reach = max(reach, over * np.sqrt(size) * y[-1])
+    x, w = np.array(x), np.array(model.weights)
+    # Where the penalised likelihood has its maximum, its slope is zero.
+    assert np.allclose(x.T @ (1 / (1 + np.exp(-x @ w)) - y) + w, 0, atol=1e-2) and model.limit == pytest.approx(1.5 * reach + 1)
+
+
 def kneser_ney_by_hand(texts, alphabet):
     """Probability of a character after up to three others, by the definition."""
     padded = ["    " + t + " " for t in texts]
