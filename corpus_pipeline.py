@@ -35,7 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @with_package
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates, by shingles of five words."""
+    """The first document of each group of near duplicates: SimHash index, exact check by shingles of five words, completion."""
     return one_of_each(docs)
 
 

@@ -7,7 +7,7 @@ come first, are dropped by a pre-aggregated count before any member is moved.
 
 A list's members are first compared with two of them, the one of the smallest id and the one
 of the smallest hash, which lists of the same members have in common: that joins dense
-groups by few comparisons. What is left are lists whose members are then still in different
+groups by few comparisons. Pairs that links known before join are not compared again. What is left are lists whose members are then still in different
 components. The caller finds the links between those (``cross``), as forests, so that dense
 groups are never expanded into their pairs.
 """
@@ -48,11 +48,18 @@ def jaccard_links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFr
     return pairs.where(jaccard(F.col("of_src"), F.col("of_dst")) >= threshold - 1e-9).select("src", "dst")
 
 
-def similar_sets(nodes: DataFrame, alike: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of ``pairs(src, dst)`` that are not in one of the ``classes(id, component)``."""
+    for end in ("src", "dst"):
+        pairs = pairs.join(classes.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+    return pairs.where(F.coalesce("of_src", "src") != F.coalesce("of_dst", "dst")).select("src", "dst")
+
+
+def similar_sets(nodes: DataFrame, alike: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame], threshold: float, known: DataFrame) -> DataFrame:
     """Components ``(id, component)`` of the links that ``alike(pairs)`` confirms; unlinked sets are not listed.
 
     ``nodes(set_id, n, filed)`` has distinct sets with their sizes and the posting lists they
-    are in; it should be a written table. ``cross(members(key, set_id, n, component))`` gives
+    are in; it should be a written table. ``known(src, dst)`` are confirmed links, written. ``cross(members(key, set_id, n, component))`` gives
     ``(src, dst)``, confirmed links that join all components with links in a list.
     """
     listed = nodes.select("set_id", "n", F.explode("filed").alias("key"))
@@ -65,7 +72,8 @@ def similar_sets(nodes: DataFrame, alike: Callable[[DataFrame], DataFrame], cros
     stars = join_classes(index, written(lists, "posting-lists"), ["key"]).select("set_id", "n", F.explode(F.array("first", "other")).alias("with"))
     stars = stars.where((F.col("set_id") != F.col("with.set_id")) & near_sizes(F.col("n"), F.col("with.n"), threshold))
     stars = stars.select(F.least("set_id", "with.set_id").alias("src"), F.greatest("set_id", "with.set_id").alias("dst")).distinct()
-    found = written(alike(written(stars, "star-pairs")), "star-links")
+    stars = written(_apart(stars, connected_components(known)), "star-pairs")
+    found = written(alike(stars).unionByName(known), "star-links")
     joined = connected_components(found)
     placed = index.join(joined.withColumnRenamed("id", "set_id"), "set_id", "left")
     placed = written(placed.select("key", "set_id", "n", F.coalesce("component", "set_id").alias("component")), "placed-members")

@@ -13,9 +13,11 @@ Fingerprints that many documents share are collapsed first. A long posting list
 as pairs of blocks; a task gets one pair of blocks, compares it in memory, and emits only a
 spanning forest of the verified links, so links between dense groups are never expanded.
 
-For the pipeline's looser likeness no shared byte is guaranteed. ``wide_near_duplicates``
-therefore files documents under some of their shingles, so that no pair can be missed, takes
-wide fingerprints as a sieve and links pairs by the Jaccard similarity of their shingles.
+For the pipeline's looser likeness, ``wide_near_duplicates`` searches by the same index and
+checks what it finds by the Jaccard similarity of the shingles. Pairs that differ in more
+bits than the index guarantees are left to a completion: documents that are not linked yet
+are also filed under some of their shingles, so that no pair can be missed, with wide
+fingerprints as a sieve and the same check.
 
 Defined cases: a null or empty text, or one of white space, has fingerprint zero and links
 like any other. Repeated rows and ties share a component; rows without a doc_id link like
@@ -205,18 +207,23 @@ def links(nodes: DataFrame, sets: Sequence[Sequence[int]], min_shared: int, max_
     return dealt.select("key", "lower", "upper", "block", "id", "fp").mapInArrow(run, "src long, dst long")
 
 
+def fingerprint_links(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """Links ``(src, dst)`` of all pairs of distinct 64-bit fingerprints ``nodes(id, fp)`` that differ in at most ``max_bits`` bits."""
+    if not 0 <= max_bits <= 3:
+        raise ValueError("an index of quadruples finds all pairs of at most 3 differing bits")
+    return links(nodes, QUADRUPLES, 8 - max_bits, max_bits)
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
     """``(doc_id, fp, component_id)`` of every document under 64-bit fingerprints.
 
     Exact for ``max_bits`` up to 3: every pair within that distance is linked, directly or
     through others.
     """
-    if not 0 <= max_bits <= 3:
-        raise ValueError("an index of quadruples finds all pairs of at most 3 differing bits")
     found = written(fingerprints(docs, words, 1).withColumn("id", F.col("fp")[0]), "fingerprints")
     nodes = found.groupBy("id", "fp").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes, "distinct-fingerprints")
-    classes = connected_components(links(nodes.select("id", "fp"), QUADRUPLES, 8 - max_bits, max_bits))
+    classes = connected_components(fingerprint_links(nodes.select("id", "fp"), max_bits))
     placed = nodes.join(classes, "id", "left").select("id", "doc", "copies", F.coalesce("component", "id").alias("component"))
     placed = written(placed, "placed-fingerprints")
     named = placed.join(placed.groupBy("component").agg(F.min("doc").alias("component_id")), "component")
@@ -296,6 +303,18 @@ def _filed(rows: DataFrame, words: int, lanes: int, threshold: float, frequent:
     return source.mapInArrow(run, "doc_id long, key long, set_id long, n int, fp array<long>, filed array<long>")
 
 
+def indexed_pairs(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """``(src, dst)``: sets of ``nodes(set_id, fp)`` that the index of their first 64 bits links, by the first set of each fingerprint."""
+    held = nodes.select("set_id", F.col("fp")[0].alias("id"))
+    prints = written(held.groupBy("id").agg(F.min("set_id").alias("first"), F.count(F.lit(1)).alias("copies")), "distinct-fingerprints")
+    near = fingerprint_links(prints.select("id", F.array("id").alias("fp")), max_bits).distinct()
+    for end in ("src", "dst"):
+        near = near.join(prints.select(F.col("id").alias(end), F.col("first").alias(f"first_{end}")), end)
+    same = join_classes(held, written(prints.where("copies > 1"), "shared-fingerprints"), ["id"]).where("set_id <> first")
+    near = near.select(F.least("first_src", "first_dst").alias("src"), F.greatest("first_src", "first_dst").alias("dst"))
+    return near.unionByName(same.select(F.col("first").alias("src"), F.col("set_id").alias("dst")))
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -437,11 +456,12 @@ def verified_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, thresh
     return _in_cells(_dealt(members, nodes).join(sets, "set_id"), ["fp", "elements"], links_of)
 
 
-def wide_near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 8, threshold: float = 0.8, max_differing: float = 0.3) -> DataFrame:
+def wide_near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 8, threshold: float = 0.8, max_differing: float = 0.3, max_bits: int = 3) -> DataFrame:
     """``(doc_id, key, component)``: rows linked by a Jaccard similarity of ``threshold`` of their shingles.
 
-    Every such pair is found, and no other links. Fingerprints of ``64 * lanes`` bits spare
-    most comparisons: at s = 0.8 a share acos(2s / (1 + s)) / pi = 0.15 of the bits differs
+    Every such pair is found, and no other links. Pairs whose first 64 bits differ in at most
+    ``max_bits`` come from the index of fingerprints, the others from that of shingles, where
+    fingerprints of ``64 * lanes`` bits spare most comparisons: at s = 0.8 a share acos(2s / (1 + s)) / pi = 0.15 of the bits differs
     (at most 0.19, for sets of 4 and 5), and ``max_differing`` is over six standard
     deviations above that. Only the texts of pairs that pass are read again, to be compared.
     """
@@ -471,7 +491,8 @@ def wide_near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 8, thresh
         meeting = written(meeting.select("key", "set_id", "n", "component"), "families")
         return verified_links(meeting, nodes, sets_of(meeting.select("set_id")), threshold, most)
 
-    classes = similar_sets(nodes, alike, cross, threshold).withColumnRenamed("id", "set_id")
+    known = written(alike(written(indexed_pairs(nodes, max_bits), "indexed-pairs")), "indexed-links")
+    classes = similar_sets(nodes, alike, cross, threshold, known).withColumnRenamed("id", "set_id")
     return found.select("doc_id", "key", "set_id").join(classes, "set_id", "left").select("doc_id", "key", F.coalesce("component", "set_id").alias("component"))
 
 

@@ -270,6 +270,38 @@ def test_forests_join_what_all_pairs_join(spark, monkeypatch, block):
     assert joined(found + own, range(n)) == joined(alike + own, range(n))
 
 
+def test_stage_searches_by_the_index_of_fingerprints(spark, monkeypatch):
+    from itertools import combinations
+
+    from symgraph.llm import set_join
+    from symgraph.llm import simhash as module
+
+    base = [prose(40 + i, 400).split() for i in range(6)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:k], "edited", *b[k + 1 :]]) for b in base for k in (50, 200, 350)]
+    # Equal fingerprints, as one shingle is most of the text, but other shingles: both stay.
+    texts += ["a " * 2000 + prose(60, 30), "a " * 2000 + prose(61, 30)]
+    prints = [simhash(t, 5) for t in texts]
+    assert prints[-1] == prints[-2]
+    near = [(a, b) for a, b in combinations(range(len(texts)), 2) if bin(prints[a] ^ prints[b]).count("1") <= 3]
+    assert len(near) >= 10
+    seen, known = [], []
+    links, similar_sets = module.links, module.similar_sets
+    monkeypatch.setattr(module, "links", lambda nodes, sets, least, most: seen.append((sets, least, most, links(nodes, sets, least, most))) or seen[-1][3])
+    monkeypatch.setattr(module, "similar_sets", lambda *a: known.append(a[4].count()) or similar_sets(*a))
+    kept = {r["doc_id"] for r in one_of_each(frame(spark, texts)).collect()}
+    assert kept == {*range(6), len(texts) - 2, len(texts) - 1}
+    ((sets, least, most, found),) = seen
+    assert (sets, least, most) == (QUADRUPLES, 5, 3) and known[0] >= 8
+    number = {p: min(i for i, q in enumerate(prints) if q == p) for p in prints}
+    of = lambda x: number[x % 2**64]
+    by_index = [(of(r["src"]), of(r["dst"])) for r in found.collect()] + [(i, number[p]) for i, p in enumerate(prints)]
+    assert joined(by_index, range(len(texts))) == joined(near, range(len(texts)))
+    # Pairs that these links join are not compared again.
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (5, 6)], "src long, dst long")
+    classes = spark.createDataFrame([(1, 1), (2, 1), (4, 1)], "id long, component long")
+    assert {tuple(r) for r in set_join._apart(pairs, classes).collect()} == {(1, 3), (5, 6)}
+
+
 @pytest.mark.parametrize("block", [2048, 5])
 def test_wide_classes_are_those_of_exact_likeness(spark, monkeypatch, block):
     from symgraph.llm import simhash as module
